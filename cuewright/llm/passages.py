@@ -1,0 +1,93 @@
+"""Operator 7: substring dedup by hashing lines and parts of lines.
+
+Each line is a row of units.  A unit ends with the line, with a word that ends a sentence, or with a
+word whose own hash is a multiple of ``cut``, so a unit's edges follow from its words alone and a
+passage pasted into the middle of a line falls into the same units again.  Units are normalised
+(A-Z in lower case, white space dropped) and their digests grouped over the whole corpus.  The
+earliest occurrence, by (doc_id, offset), stays.  Later ones go where they stand in a run of
+neighbouring repeated units of at least ``least_words`` words; single short units that recur by
+chance stay.  Offsets are code points of the original text.
+
+Null texts are empty and keep null; empty texts have no unit.  Repeated rows (same doc_id) are one
+document and share its spans.  Rows with a null doc_id are ranked nowhere and come back whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import let, staged, text_slices, utf8_bytes
+from .word_hashes import FACTOR, mix, words
+
+STOPS = np.isin(np.arange(256), list(b".!?"))
+SPANS = "array<struct<start: int, end: int>>"
+
+
+def units_of(flat: np.ndarray, offsets: np.ndarray, cut: int) -> tuple[np.ndarray, ...]:
+    """Text number, digest, first code point, end code point and words of each unit."""
+    hashes, starts, ends, at = words(flat, offsets)
+    if not len(hashes):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    newlines = np.concatenate([[0], np.cumsum(flat == 0x0A)])
+    line = newlines[starts]
+    last = np.ones(len(hashes), bool)
+    last[:-1] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    last |= STOPS[flat[ends - 1]] | (hashes % np.uint64(cut) == 0)
+    first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    count = np.diff(np.append(first, len(hashes)))
+    place = np.arange(len(hashes)) - np.repeat(first, count)
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(count.max()), FACTOR)]))
+    digests = mix(np.add.reduceat(hashes * powers[place], first) + count.astype(np.uint64))
+    points = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
+    own = text[first]
+    base = points[offsets[own]]
+    return own, digests, points[starts[first]] - base, points[ends[np.flatnonzero(last)]] - base, count
+
+
+def repeated_spans(docs: DataFrame, least_words: int = 25, cut: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_units, removed: the spans (start, end) of each document's later occurrences."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 4 << 20):
+            own, digests, start, end, count = units_of(*utf8_bytes(batch["text"]), cut)
+            number = np.arange(len(own)) - np.searchsorted(own, own)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(own)), pa.array(digests.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in (number, start, end, count))], ["doc_id", "digest", "unit", "start", "end", "words"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    units = staged(rows.mapInArrow(split, "doc_id long, digest long, unit int, start int, end int, words int"), "units")
+    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).filter("first < last").select("digest", "first")
+    later = units.join(first, "digest").filter(F.struct("doc_id", "unit") > F.col("first")).select("doc_id", "unit", "start", "end", "words").distinct()
+
+    def runs(key: tuple, table: pa.Table) -> pa.Table:
+        order = np.argsort(table["unit"].to_numpy(), kind="stable")
+        unit, start, end, count = (table[c].to_numpy()[order] for c in ("unit", "start", "end", "words"))
+        head = np.flatnonzero(np.concatenate([[True], np.diff(unit) != 1]))
+        tail = np.append(head[1:], len(unit)) - 1
+        keep = np.add.reduceat(count, head) >= least_words
+        spans = [{"start": int(s), "end": int(e)} for s, e in zip(start[head[keep]], end[tail[keep]], strict=True)]
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "removed": pa.array([spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+
+    # one document's units, which its own text bounds
+    return later.groupBy("doc_id").applyInArrow(runs, f"doc_id long, removed {SPANS}").filter(F.size("removed") > 0)
+
+
+def without_spans(text: str = "text", removed: str = "removed") -> F.Column:
+    """``text`` without the spans; white space around them stays."""
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col(removed), F.array(F.struct(F.char_length(text).alias("start"), F.lit(0).alias("end"))))
+    piece = lambda e, k: F.substring(F.col(text), F.get(e, k)["end"] + 1, F.get(e, k + 1)["start"] - F.get(e, k)["end"])
+    kept = let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: piece(e, k)))
+    return F.when(F.size(removed) > 0, F.array_join(kept, "")).otherwise(F.col(text))
+
+
+def dedup_passages(docs: DataFrame, least_words: int = 25, cut: int = 16) -> DataFrame:
+    """doc_id, text without its removed spans, removed spans with original offsets, n_removed code points."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = own.join(repeated_spans(docs, least_words, cut), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
+    size = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return joined.select("doc_id", without_spans().alias("text"), "removed", size.cast("long").alias("n_removed"))
