@@ -6,12 +6,13 @@ A document's set holds the hashes of its distinct five-word shingles.  Two sets
 * Equal sets have equal answers: only one set of each digest (that of the least doc_id) goes on.
 * Index lists: a set of n hashes, rarest first by a count sketch over the whole corpus, is listed
   under its first n - ceil(3n/4) + 1 hashes; a linking pair shares one of them.
-* Answers from a similar set's: each list first compares all members with its least member only.
-  What that links shares one answer (its component), and pairs within it are never looked at.
+* Answers from a similar set's: each set is first compared only with that least member of its lists
+  with which it shares the most lists.  What links shares one answer (its component), and pairs
+  within it are never looked at.
 * What is left are pairs of a list in different components.  Lists are cut into blocks by size
   class and by position, and blocks that cannot hold a linking pair are skipped: the smaller set
   must be within its first n - ceil(6n/7) + 1 hashes, the size classes the same or neighbours.
-* Every surviving pair is verified on the full sets.
+* A pair's shared lists bound its overlap; what may still reach the threshold is verified on the full sets.
 
 All steps group or join by hash, document or component; none collects a list, a group or a
 component.  Null and empty texts have an empty set and link with nothing.  Rows with a null doc_id
@@ -121,6 +122,20 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return staged(both.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), "links")
 
 
+def possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs that may still link by the lists they share.
+
+    Every hash that is among the first of both sets has a list.  Of the set whose first hashes end
+    earlier, only the n - p others can add to the overlap.
+    """
+    own = lists.select("hash", "rep", "n")
+    left = pairs.select("a", "b").join(own.select(F.col("rep").alias("a"), "hash", F.col("n").alias("na")), "a")
+    both = left.join(own.select(F.col("rep").alias("b"), "hash", F.col("n").alias("nb")), ["b", "hash"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    others = lambda n: F.ceil(3 * F.col(n) / 4) - 1
+    most = F.least(F.col("shared") + F.greatest(others("na"), others("nb")), "na", "nb")
+    return both.filter(similar(most, F.col("na"), F.col("nb"))).select("a", "b")
+
+
 def list_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of a list that lie in different components and in blocks that may hold a linking pair."""
     member = lists.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -146,10 +161,11 @@ def ngram_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     packed = entries.select("hash", "rep", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     lists = staged(packed.join(shared, "hash").select("hash", "rep", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), "pivot"), "lists")
 
-    first = lists.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(first, docs, width)
+    shares = lists.filter("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("shared"))
+    first = shares.groupBy(F.col("rep").alias("b")).agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a")).select("a", "b")
+    links = verified(staged(possible(first, lists), "first"), docs, width)
     known = staged(components(links), "components")
-    rest = staged(list_pairs(lists, known).join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    rest = staged(possible(list_pairs(lists, known), lists).join(links.select("a", "b").union(links.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
     more = verified(rest, docs, width)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
