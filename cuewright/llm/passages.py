@@ -61,8 +61,11 @@ def repeated_spans(docs: DataFrame, least_words: int = 25, cut: int = 16, id_col
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     units = staged(rows.mapInArrow(split, "doc_id long, digest long, unit int, start int, end int, words int"), "units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max(F.struct("doc_id", "unit")).alias("last")).filter("first < last").select("digest", "first")
-    later = units.join(first, "digest").filter(F.struct("doc_id", "unit") > F.col("first")).select("doc_id", "unit", "start", "end", "words").distinct()
+    # digests alone tell which units recur; only those are looked at closer
+    often = units.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    again = staged(units.join(often, "digest"), "repeated")
+    first = again.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"))
+    later = again.join(first, "digest").filter(F.struct("doc_id", "unit") > F.col("first")).select("doc_id", "unit", "start", "end", "words").distinct()
 
     def runs(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table["unit"].to_numpy(), kind="stable")
