@@ -1,7 +1,8 @@
-"""The state tables as Parquet: every batch of changes is written whole, then published by one rename.
+"""The state tables as Parquet: a batch writes the tables that it changes, then one rename publishes them.
 
-``state/v=<n>/<table>`` holds version n; the file ``CURRENT`` names the version in force.  A reader
-sees all of a batch or none of it, and no path is overwritten while it is read.
+``state/v=<n>/<table>`` holds a table as batch n left it; the file ``CURRENT`` names the last batch
+and the one that each table stems from.  A reader sees all of a batch or none of it, no path is
+overwritten while it is read, and a table that a batch leaves alone is neither read nor written.
 """
 
 from __future__ import annotations
@@ -35,15 +36,23 @@ class State:
         self.spark, self.root = spark, Path(root) / "state"
         self.changed: dict[str, DataFrame] = {}
 
+    def current(self) -> dict | None:
+        """The last batch's number and that of each table; None before the first."""
+        mark = self.root / "CURRENT"
+        return read_json(mark) if mark.exists() else None
+
     def version(self) -> int:
-        return int((self.root / "CURRENT").read_text())
+        known = self.current()
+        if known is None:
+            raise FileNotFoundError(f"no state in {self.root}")
+        return known["version"]
 
     def create(self) -> None:
         """Empty tables where there are none, as a new version; tables that exist keep their rows."""
         self.root.mkdir(parents=True, exist_ok=True)
-        known = self.version() if (self.root / "CURRENT").exists() else None
+        known = (self.current() or {"tables": {}})["tables"]
         for table, schema in S.TABLES.items():
-            if known is None or not (self.root / f"v={known}" / table).exists():
+            if table not in known:
                 self.changed[table] = self.spark.createDataFrame([], schema)
         self.upsert("schema_meta", [{"key": "schema_version", "value": str(S.SCHEMA_VERSION)}])
         self.publish()
@@ -51,15 +60,19 @@ class State:
     def read(self, table: str) -> DataFrame:
         if table not in S.TABLES:
             raise ValueError(f"unknown table {table}")
-        return self.changed[table] if table in self.changed else self.spark.read.schema(S.TABLES[table]).parquet(str(self.root / f"v={self.version()}" / table))
+        if table in self.changed:
+            return self.changed[table]
+        self.version()
+        return self.spark.read.schema(S.TABLES[table]).parquet(str(self.root / f"v={self.current()['tables'][table]}" / table))
 
     def publish(self) -> None:
-        """Write every table of the next version, then make it the current one."""
-        n = self.version() + 1 if (self.root / "CURRENT").exists() else 1
-        for table in S.TABLES:
-            self.read(table).write.mode("overwrite").parquet(str(self.root / f"v={n}" / table))
+        """Write the changed tables under the next number, then make it the current one."""
+        known = self.current() or {"version": 0, "tables": {}}
+        n = known["version"] + 1
+        for table, rows in self.changed.items():
+            rows.write.mode("overwrite").parquet(str(self.root / f"v={n}" / table))
         mark = self.root / f".CURRENT-{n}"
-        mark.write_text(str(n))
+        mark.write_text(json.dumps({"version": n, "tables": known["tables"] | dict.fromkeys(self.changed, n)}))
         os.replace(mark, self.root / "CURRENT")
         self.changed = {}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import shutil
 from pathlib import Path
 
@@ -16,6 +17,9 @@ from cuewright.operators import folds
 from cuewright.plans.state import State, fresh_id, now_iso, read_json, write_json
 from cuewright.sources import subtitles
 
+COACH = ".coach"
+PROFILE_LISTS = ["comprehension_strengths", "output_fragilities", "reusable_chunks", "recurring_vocab_gaps", "track_bias", "recent_priorities"]
+
 # What an import of each track starts a profile with.
 TRACK_PROFILES = {
     "live_chat": ("Learning profile initialized from cleaned live-chat transcript imports.", ["live_chat chunk integrity", "spoken scene management", "dual-platform chat humor"]),
@@ -71,32 +75,62 @@ def render(spark: SparkSession, paths: list[Path], track: str, output: Path | No
     title = F.coalesce(F.nullif("source.stem", F.lit("")), F.nullif("source.source_label", F.lit("")), F.col("source.source_id"))
     out = []
     for r in rows.select("from", title.alias("title"), lesson_markdown(title, F.lit(track)).alias("md"), plain_text().alias("txt")).toLocalIterator():
-        base = (output or Path(r["from"].removeprefix("file://")).parent) / r.title
+        base = (output or Path(re.sub("^file:(?://)?", "", r["from"])).parent) / r.title
         out.append(write_text(Path(f"{base}.lesson-ready.en.md"), r.md))
         if emit_txt:
             out.append(write_text(Path(f"{base}.lesson-ready.en.txt"), r.txt))
     return out
 
 
-def init_root(spark: SparkSession, root: str | Path, language: str = "en", overwrite: bool = False, now: dt.datetime | None = None) -> None:
+def init_root(spark: SparkSession, root: str | Path, language: str = "en", overwrite: bool = False, now: dt.datetime | None = None, learner_id: str = "default", native_language: str = "zh-CN", feedback_language: str = "zh-CN") -> None:
     """Folders, config, profile and empty state; an existing config or profile stays unless ``overwrite``."""
     root, at = Path(root), now_iso(now)
-    for part in ("raw", "cleaned", "segments", "lessons", "answers", "feedback"):
+    for part in ("raw", "cleaned", "segments", "lessons", "sessions", "exports"):
         (root / "languages" / language / part).mkdir(parents=True, exist_ok=True)
-    coach = root / ".coach"
-    empty = dict.fromkeys(["comprehension_strengths", "output_fragilities", "reusable_chunks", "recurring_vocab_gaps", "track_bias", "recent_priorities"])
-    for name, value in {"config.json": {"schema_version": S.SCHEMA_VERSION, "active_languages": [language], "created_at": at, "updated_at": at}, "profile.json": {"schema_version": S.SCHEMA_VERSION, "updated_at": at, "active_languages": [language], "language_profiles": {language: {"baseline_summary": None, **{k: [] for k in empty}, "last_updated_at": None}}}}.items():
-        if overwrite or not (coach / name).exists():
-            write_json(coach / name, value)
+    stamps = {"created_at": at, "updated_at": at}
+    config = {
+        "schema_version": S.SCHEMA_VERSION, "learner_id": learner_id, "default_language": language, "default_feedback_language": feedback_language, "auto_write": True,
+        "review_policy": {"mode": "summary_first", "max_focus_groups": 3, "max_item_details_on_demand": 5},
+        "paths": {"languages_dir": "languages", "coach_dir": COACH}, **stamps,
+    }
+    profile = {
+        "schema_version": S.SCHEMA_VERSION, "learner_id": learner_id, "native_language": native_language, "active_languages": [language],
+        "preferences": {"feedback_language": feedback_language, "auto_write": True},
+        "language_profiles": {language: {"baseline_summary": None, **{k: [] for k in PROFILE_LISTS}, "last_updated_at": None}}, **stamps,
+    }
+    for name, value in (("config.json", config), ("profile.json", profile)):
+        if overwrite or not (root / COACH / name).exists():
+            write_json(root / COACH / name, value)
     State(spark, root).create()
 
 
+def migrate_root(spark: SparkSession, root: str | Path, now: dt.datetime | None = None) -> int:
+    """Missing state tables are made and the schema version stamped; rows stay.  A root without state is an error."""
+    root = Path(root)
+    state = State(spark, root)
+    state.version()
+    state.create()
+    for path in (root / COACH / "config.json", root / COACH / "profile.json"):
+        if path.exists():
+            write_json(path, {**read_json(path), "schema_version": S.SCHEMA_VERSION, "updated_at": now_iso(now)})
+    return S.SCHEMA_VERSION
+
+
+def clean(spark: SparkSession, paths: list[Path], track: str = "live_chat", output: Path | None = None, emit_txt: bool = False) -> list[dict]:
+    """Lesson-ready documents straight from subtitle files, with what the cleaning did to each."""
+    out = []
+    for r in normalized(spark, paths, []).select("source.input_path", "source.stem", "stats", lesson_markdown(F.col("source.stem"), F.lit(track)).alias("md"), plain_text().alias("txt")).toLocalIterator():
+        base = (output or Path(r.input_path).parent) / r.stem
+        out.append({"input": r.input_path, "plain_text": str(write_text(Path(f"{base}.lesson-ready.en.txt"), r.txt)) if emit_txt else None, "markdown": str(write_text(Path(f"{base}.lesson-ready.en.md"), r.md)), "track": track, "raw_cues": r.stats.rawCueCount, "cleaned_utterances": r.stats.cleanedUtteranceCount, "merged_cross_cue_continuations": r.stats.mergedCueCount, "removed_exact_repeats": r.stats.dedupedCount, "dropped_noise_cues": r.stats.droppedNoiseCount})
+    return out
+
+
 def ingest(spark: SparkSession, root: str | Path, raw: list[Path], ready: list[Path] = (), track: str = "live_chat", language: str = "en", title: str | None = None, creator: str | None = None, source_url: str | None = None, emit_txt: bool = False, now: dt.datetime | None = None) -> list[dict]:
     """Import files: documents and segment files on disk, sources and segments in state (published together), and the profile."""
     root, at = Path(root), now_iso(now)
     if track not in S.TRACKS:
         raise ValueError(f"unknown track {track}")
-    profile_path = root / ".coach" / "profile.json"
+    profile_path = root / COACH / "profile.json"
     if not profile_path.exists():
         raise FileNotFoundError(profile_path)
     payloads = normalized(spark, list(raw), list(ready)).cache()
@@ -153,4 +187,4 @@ def update_profile(path: Path, language: str, track: str, imported: list[dict],
     write_json(path, profile)
 
 
-__all__ = ["fresh_id", "ingest", "init_root", "normalize", "normalized", "render"]
+__all__ = ["clean", "fresh_id", "ingest", "init_root", "migrate_root", "normalize", "normalized", "render"]
