@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, text_slices, utf8_bytes
+from .common import broadcast_if_small, staged, text_slices, utf8_bytes
 from .word_hashes import words
 
 FIT_ROWS = 20_000
@@ -109,7 +109,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
     """host_, path_, rate of every path, and the global rate; all by grouped sums."""
     p = 1 / (1 + F.exp(-F.col("evidence_")))
-    paths = scored.select(F.col(host).alias("host_"), F.col(path).alias("path_"), p.alias("p")).groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("total"))
+    # staged, so that the texts are scored for it once
+    paths = staged(scored.select(F.col(host).alias("host_"), F.col(path).alias("path_"), p.alias("p")).groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("total")), "sites")
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     rate = (whole.total or 0.0) / max(whole.n or 0, 1)
