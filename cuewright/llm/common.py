@@ -40,7 +40,11 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about ``most_bytes`` of ``column`` (one row at least); null texts become empty."""
+    """Arrow batches cut so that each holds about ``most_bytes`` of ``column`` (one row at least); null texts become empty.
+
+    After each batch the memory that Arrow keeps for later goes back to the system, as a worker
+    process lives on through later stages.
+    """
     for batch in batches:
         at = batch.schema.get_field_index(column)
         texts = pc.fill_null(batch.column(at).cast(pa.string()), "")
@@ -54,6 +58,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> dict[str
     chosen = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(FIT_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array(features(batch["text"]).tolist(), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>").toPandas()
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = iter(text_slices(iter([batch.select(["text"])]), "text", 4 << 20))
+            whole = iter(text_slices(iter([batch.select(["text"])]), "text", 1 << 20))
             parts = [log_odds(model, features(part["text"])) for part in whole]
             yield batch.append_column("evidence_", pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
