@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, passages, pii, quality, sharding, telephony, token_counts, token_files
+from . import decontamination, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files
 from .common import documents_of, shared_dir, staged
 
 SHARD_BYTES = 1 << 20
@@ -40,7 +40,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.dedup_passages(documents_of(spark, sf_dir))
+    return repeats.dedup_repeats(documents_of(spark, sf_dir))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
