@@ -2,8 +2,12 @@
 
 A line's digest is that of its words (A-Z in lower case, white space between them as one).  Digests are
 grouped over the whole corpus; the earliest occurrence, by (doc_id, place), stays and all later ones
-go, however short the line is.  A repeated paragraph goes as its lines.  Runs inside lines come from
-``passages``.  Removed spans are code points of the original text; spans that overlap are one.
+go, however short the line is.  A repeated paragraph goes as its lines.
+
+Inside and across lines, every run of ``RUN`` words goes that stands word for word earlier in the
+corpus (in the same document, where the two don't overlap), whatever stands around it: a longer repeated
+passage goes whole, to its last word.  Removed spans are code points of the original text; spans that
+overlap are one.
 
 Null texts are empty and keep null.  Repeated rows (same doc_id) are one document and share its spans.
 Rows with a null doc_id are ranked nowhere and come back whole.
@@ -18,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices, utf8_bytes
-from .passages import SPANS, repeated_spans, without_spans
+from .common import maybe_in, staged, text_slices, utf8_bytes
+from .passages import SPANS, without_spans
 from .word_hashes import FACTOR, mix, words
 
-ROWS = "doc_id long, digest long, place int, start int, end int"
+RUN = 25  # words of the shortest run that goes inside lines
+KEY = 10  # words of an anchor
 
 
 class Words:
@@ -53,20 +58,91 @@ class Words:
         first = np.flatnonzero(head)
         return first, np.append(first[1:], len(self.hashes)) if len(first) else first
 
-
-def later_lines(rows: DataFrame) -> DataFrame:
-    """doc_id, start, end of each later occurrence of a line."""
+    def groups(self) -> tuple[np.ndarray, ...]:
+        """Anchor, first and last run of each group of neighbouring runs of ``RUN`` words that share their anchor.
+
+        A run's anchor is the leftmost of its ``KEY``-word pieces with the least digest, so equal runs
+        have equal anchors wherever they stand, and each text's runs fall into few groups.
+        """
+        n = len(self.hashes) - RUN + 1
+        none = np.zeros(0, np.int64)
+        if n <= 0:
+            return none.astype(np.uint64), none, none
+        k = np.arange(len(self.hashes) - KEY + 1)
+        keys = self.digests(k, k + KEY)
+        least, shift = keys[:n].copy(), np.zeros(n, np.int8)
+        for j in range(1, RUN - KEY + 1):
+            less = keys[j : n + j] < least
+            least[less] = keys[j : n + j][less]
+            shift[less] = j
+        run = np.flatnonzero(self.text[:n] == self.text[RUN - 1 :])
+        if not len(run):
+            return none.astype(np.uint64), none, none
+        anchor = run + shift[run]
+        head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1] + 1)]))
+        return least[run[head]], run[head], run[np.append(head[1:], len(run)) - 1]
+
+
+def bitmap_of(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the rows' digest ^ doc_id ^ place, and its mask; 16 bits a row, at most 8 MB."""
+    bits = min(1 << 26, 1 << (max(16 * rows.count(), 1024) - 1).bit_length())
+    slots = rows.select(F.expr(f"(digest ^ doc_id ^ place) & {bits - 1}L").alias("slot"))
+    found = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 32, np.uint32)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out, bits - 1
+
+
+def is_later(least_gap: int | F.Column) -> F.Column:
+    """Whether a row stands in a later document than its ``first``, or in the same one by ``least_gap`` words later."""
+    return (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") >= F.col("first.place") + least_gap))
+
+
+def later_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end of each later occurrence of a line, and of a run of ``RUN`` words.
+
+    Lines and groups of runs are compared whole at first.  Where an anchor stands in groups that
+    differ, or in one that overlaps its own earliest occurrence, a second pass compares run by run.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
             w = Words(*utf8_bytes(batch["text"]))
-            first, stop = w.lines()
+            (first, stop), (anchor, low, high) = w.lines(), w.groups()
+            digest = np.concatenate([w.digests(first, stop), anchor])
+            whole = np.concatenate([np.zeros(len(first), np.uint64), w.digests(low, high + RUN)])
+            first, stop = np.concatenate([first, low]), np.concatenate([stop, high + RUN])
             ints = (pa.array(c.astype(np.int32)) for c in (w.place[first], w.start[first], w.end[stop - 1]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(w.text[first])), pa.array(w.digests(first, stop).view(np.int64)), *ints], ["doc_id", "digest", "place", "start", "end"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(w.text[first])), pa.array(digest.view(np.int64)), pa.array(whole.view(np.int64)), *ints], ["doc_id", "digest", "whole", "place", "start", "end"])
+
+    rows = staged(docs.mapInArrow(split, "doc_id long, digest long, whole long, place int, start int, end int"), "rows")
+    often = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    again = staged(rows.join(often, "digest"), "repeated")
+    first = staged(again.groupBy("digest", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")), "first")
+    known = again.join(first.filter("n > 1").drop("n"), ["digest", "whole"])
+    whole = known.filter(is_later(F.when(F.col("whole") == 0, 1).otherwise(RUN))).select("doc_id", "start", "end")
+
+    # whole groups that repeat are done; what is left are the groups at the edges of a repeated passage
+    own = first.filter("whole <> 0").select("digest", "whole", "first.*")
+    overlaps = known.filter((F.col("whole") != 0) & ~is_later(RUN) & (F.struct("doc_id", "place") > F.col("first"))).select("digest", "whole", "doc_id", "place")
+    several = own.unionByName(overlaps).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    wanted = staged(own.unionByName(overlaps).join(several, "digest").select("digest", "doc_id", "place"), "edges")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text", 2 << 20):
+            w = Words(*utf8_bytes(batch["text"]))
+            anchor, low, high = w.groups()
+            ids = batch["doc_id"].to_numpy()[w.text[low]]
+            good = maybe_in(*bitmap.value, anchor.view(np.int64) ^ ids ^ w.place[low])
+            low, count = low[good], (high - low + 1)[good]
+            run = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            ints = (pa.array(c.astype(np.int32)) for c in (w.place[run], w.start[run], w.end[run + RUN - 1]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(w.text[run])), pa.array(w.digests(run, run + RUN).view(np.int64)), *ints], ["doc_id", "digest", "place", "start", "end"])
 
-    lines = staged(rows.mapInArrow(split, ROWS), "lines")
-    first = lines.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1")
-    return lines.join(first, "digest").filter(F.struct("doc_id", "place") > F.col("first")).select("doc_id", "start", "end")
+    runs = staged(docs.mapInArrow(single, "doc_id long, digest long, place int, start int, end int"), "runs")
+    earliest = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1").drop("n")
+    return whole.unionByName(runs.join(earliest, "digest").filter(is_later(RUN)).select("doc_id", "start", "end"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -94,8 +170,7 @@ def dedup_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text without its removed spans, removed spans with original offsets, n_removed code points."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = own.filter(F.col("doc_id").isNotNull())
-    runs = repeated_spans(docs).select("doc_id", F.inline("removed"))
-    spans = merged(later_lines(rows).unionByName(runs))
+    spans = merged(later_spans(rows))
     joined = own.join(spans, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast(SPANS)))
     size = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     return joined.select("doc_id", without_spans().alias("text"), "removed", size.cast("long").alias("n_removed"))

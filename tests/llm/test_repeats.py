@@ -1,5 +1,6 @@
 """The registered substring dedup against brute force over lines and words."""
 
+import random
 import re
 from collections import Counter
 
@@ -35,6 +36,44 @@ def later_lines(rows):
     return out
 
 
+def brute_spans(rows, run=25):
+    """All that goes, by comparing words: later lines, and runs of words that stand earlier."""
+    spans, first = later_lines(rows), {}
+    for i, t in sorted(rows):
+        w = words_of(t)
+        for k in range(len(w) - run + 1):
+            j, p = first.setdefault(tuple(x[0] for x in w[k : k + run]), (i, k))
+            if j < i or k >= p + run:
+                spans.setdefault(i, []).append((w[k][1], w[k + run - 1][2]))
+    out = {}
+    for i, own in spans.items():
+        out[i] = []
+        for a, b in sorted(own):
+            if out[i] and a < out[i][-1][1]:
+                out[i][-1] = (out[i][-1][0], max(b, out[i][-1][1]))
+            else:
+                out[i].append((a, b))
+    return out
+
+
+def test_every_repeated_run_is_found_to_its_last_word(spark, tmp_path):
+    rng = random.Random(11)
+    documents = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    foreign = lambda n: " ".join(f"é{rng.randrange(10**9)}x" for _ in range(n))
+    rows = [*documents, (9999, "word " * 400 + "\n" + "a b c " * 90), (9998, "word " * 30)]
+    for k in range(120):  # unpunctuated passages amid foreign words, of 24 (too short) to 70
+        passage, n = foreign(80).split(), 24 + k % 47
+        rows += [(10_000 + k, f"{foreign(3)} {' '.join(passage)} {foreign(3)}"), (20_000 + k, f"{foreign(k % 5)} {' '.join(passage[:n])} {foreign(2)}"), (30_000 + k, f"{foreign(2)} {' '.join(passage[5:n])} {foreign(k % 3)}")]
+    want = brute_spans(rows)
+    found = op7(spark, rows, tmp_path)
+    assert {i: [tuple(s) for s in r.removed] for i, r in found.items() if r.removed} == want
+    for i, t in rows:
+        left = t
+        for a, b in reversed(want.get(i, [])):
+            left = left[:a] + left[b:]
+        assert found[i].text == left and found[i].n_removed == len(t) - len(left)
+
+
 def test_every_later_line_goes_however_short(spark, tmp_path):
     documents = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
     rows = [*documents, (9001, "É own words\nAll rights reserved.\nmore"), (9002, "all  rights reserved.\nÜ other\n\nSee LICENSE"), (9003, "see license\n"), (9004, None)]
