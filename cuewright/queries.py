@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import scoring as X
 from cuewright.functions import text as T
 from cuewright.operators import agenda, cues, folds, profile
-from cuewright.schemas import TABLES
+from cuewright.schemas import TABLES, columns_of
 
 NOW = "2024-02-05 00:00:00"
 SQL_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -193,9 +193,14 @@ def q_schedule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of even documents, upserted by every third document's."""
-    row = lambda kind: documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("language"), F.lit(kind).alias("title"), F.col("doc_id"))
-    old, new = row("old").filter("doc_id % 2 = 0"), row("new").filter("doc_id % 3 = 0")
-    return old.join(new.select("id"), "id", "left_anti").select("id", "language", "title").unionByName(new.select("id", "language", "title"))
+    from cuewright.plans.state import State
+
+    own = {"id": F.col("doc_id").cast("string"), "language": F.col("lang")}
+    row = lambda kind, test: documents(spark, sf_dir).filter(test).select(*[(own | {"title": F.lit(kind)}).get(c, F.lit(None).cast("string")).alias(c) for c in columns_of("sources")])
+    state = State(spark, "unpublished")
+    state.changed["sources"] = row("old", "doc_id % 2 = 0")
+    state.merge("sources", row("new", "doc_id % 3 = 0"))
+    return state.read("sources").select("id", "language", "title")
 
 
 def q_replace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
