@@ -5,10 +5,16 @@ White space is what Python calls so, in every function; Java's own class is ASCI
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WIDE = r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # all but the blank
+SPACE = f"[ {WIDE}]"
+BLANKS = " " + "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# Plain characters are told by one range before the long class is asked; single blanks between words are no match.
+GAP, UNEVEN_GAP, WORD = f"(?![!-~]){SPACE}+", f"(?![!-~])(?: *+[{WIDE}]{SPACE}*+| {{2,}})", f"(?:[!-~]++|[^ {WIDE}])++"
 
 # Entities in the order in which they are decoded.
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
@@ -32,6 +38,7 @@ CONTINUATIONS = [
 ]
 # Openings that shift the topic.
 TOPIC_SHIFTS = ["anyway", "also", r"yeah,\s*so", "okay", "wait", "but", "pilates", "what kind of games", "there's an ankh test", "are streams this time of day"]
+# Ends of sentences and clauses, and the markup of rolling captions.
 STRONG_STOP, SOFT_STOP = r"[.!?][\"')\]]*\n?\z", r"[,;:][\"')\]]*\n?\z"
 ROLLING = r"<\d{2}:\d{2}:\d{2}\.\d{3}>|(?i)</?c(?:\.[^>]*)?>"
 # Summaries by keyword rule, in order of priority.
@@ -46,12 +53,12 @@ CLEANING_SUMMARY = "removed subtitle indices, timestamps, and subtitle markup; m
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def compact(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN_GAP, " "))
 
 
 def decode_entities(text: Column) -> Column:
@@ -93,39 +100,54 @@ def starts_with_topic_shift(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
+    return F.filter(F.split(text, GAP), lambda t: t != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(tokens(text))
+    return F.regexp_count(text, F.lit(WORD))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: an expression that a lambda repeats is computed anew each time."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def shared_words(p: Column, c: Column) -> Column:
+    """The most words that end the array ``p`` and start the array ``c``; a whole slice is compared only where its first word fits."""
+
+    def longest(x: Column) -> Column:
+        size, most = F.size(x["p"]), F.least(F.size(x["p"]), F.size(x["c"]))
+        fits = lambda k: (k <= most) & (F.get(x["p"], size - k) == F.get(x["c"], F.lit(0))) & (F.slice(x["p"], size - k + 1, k) == F.slice(x["c"], F.lit(1), k))
+        return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), fits)), F.lit(0))
+
+    return let(F.struct(p.alias("p"), c.alias("c")), longest)
 
 
 def word_overlap(previous: Column, current: Column) -> Column:
     """The most words that end ``previous`` and start ``current``, in any case."""
-    p, c = tokens(F.lower(previous)), tokens(F.lower(current))
-    most = F.least(F.size(p), F.size(c))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), lambda k: (k <= most) & (F.slice(p, F.greatest(F.size(p) - k + 1, F.lit(1)), k) == F.slice(c, F.lit(1), k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
+    return shared_words(tokens(F.lower(previous)), tokens(F.lower(current)))
 
 
-def remove_overlap(previous: Column, current: Column) -> Column:
-    """What ``current`` adds to ``previous``: nothing if ``previous`` ends with it."""
-    k = word_overlap(previous, current)
-    rest = F.array_join(F.slice(tokens(current), k + 1, F.greatest(F.size(tokens(current)), F.lit(1))), " ")
+def added(previous: Column, current: Column, words: Column, k: Column) -> Column:
+    """What ``current``, of ``words``, adds to ``previous``, with which it shares ``k`` words: nothing if ``previous`` ends with it."""
+    rest = F.array_join(F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), " ")
     return F.when(previous == "", current).when(F.endswith(F.lower(previous), F.lower(current)), "").when(k == 0, current).otherwise(rest)
 
 
+def remove_overlap(previous: Column, current: Column) -> Column:
+    return let(F.struct(word_overlap(previous, current).alias("k"), tokens(current).alias("w")), lambda x: added(previous, current, x["w"], x["k"]))
+
+
 def merge_texts(previous: Column, current: Column) -> Column:
-    more = remove_overlap(previous, current)
-    return F.when(more == "", previous).otherwise(compact(F.concat_ws(" ", previous, more)))
+    return let(remove_overlap(previous, current), lambda more: F.when(more == "", previous).otherwise(compact(F.concat_ws(" ", previous, more))))
 
 
-def continues(previous: Column, current: Column) -> Column:
-    """Whether ``current`` goes on with the sentence of ``previous``."""
+def continues(previous: Column, current: Column, words: Column | None = None) -> Column:
+    """Whether ``current`` goes on with the sentence of ``previous``, whose number of words may be given."""
     return (
         F.when((previous == "") | ends_strongly(previous), False)
         .when(ends_softly(previous) | current.rlike(r"\A[a-z]") | starts_with_continuation(current), True)
-        .otherwise((word_count(previous) <= 4) & current.rlike(r"\A[a-zA-Z]"))
+        .otherwise(((word_count(previous) if words is None else words) <= 4) & current.rlike(r"\A[a-zA-Z]"))
     )
 
 
@@ -136,13 +158,12 @@ def clock(seconds: Column) -> Column:
 
 
 def clip(text: Column, limit: int = 160) -> Column:
-    short = compact(text)
-    return F.when(F.char_length(short) <= limit, short).otherwise(F.concat(F.rtrim(F.substring(short, 1, limit - 1)), F.lit("...")))
+    return let(compact(text), lambda short: F.when(F.char_length(short) <= limit, short).otherwise(F.concat(F.rtrim(F.substring(short, 1, limit - 1)), F.lit("..."))))
 
 
 def first_sentence(text: Column) -> Column:
     """Up to the first stop that white space or the end follows, on one line; empty if there is none."""
-    return F.regexp_extract(text, rf"(?d).*?[.!?](?:{SPACE}|\z)", 0)
+    return F.regexp_extract(text, rf"(?dm)^.*?[.!?](?:{SPACE}|\z)", 0)  # the earliest match starts a line; elsewhere none is tried
 
 
 def two_digits(index: Column) -> Column:
@@ -150,7 +171,7 @@ def two_digits(index: Column) -> Column:
 
 
 def live_chat_summary(text: Column, index: Column) -> Column:
-    low, found = F.lower(text), first_sentence(text)
+    low = F.lower(text)
     has = lambda word: F.contains(low, F.lit(word))
     out = None
     for every, some, summary in LIVE_CHAT_RULES:
@@ -160,12 +181,11 @@ def live_chat_summary(text: Column, index: Column) -> Column:
         for word in every:
             test = test & has(word)
         out = F.when(test, F.lit(summary)) if out is None else out.when(test, F.lit(summary))
-    return out.otherwise(F.concat(F.lit("Live-chat segment "), two_digits(index), F.lit(": "), F.when(found != "", strip(found)).otherwise(clip(text, 120))))
+    return out.otherwise(F.concat(F.lit("Live-chat segment "), two_digits(index), F.lit(": "), let(first_sentence(text), lambda found: F.when(found != "", strip(found)).otherwise(clip(text, 120)))))
 
 
 def article_summary(text: Column, index: Column) -> Column:
-    found = first_sentence(text)
-    return F.concat(F.lit("Argument unit "), two_digits(index), F.lit(": "), clip(F.when(found != "", strip(found)).otherwise(text), 150))
+    return F.concat(F.lit("Argument unit "), two_digits(index), F.lit(": "), clip(let(first_sentence(text), lambda found: F.when(found != "", strip(found)).otherwise(text)), 150))
 
 
 def segment_summary(text: Column, track: Column, index: Column) -> Column:

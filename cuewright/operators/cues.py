@@ -22,8 +22,13 @@ def detect_format(raw: Column, name: Column) -> Column:
 
 
 def seconds_by(pattern: str, text: Column, unit: float) -> Column:
-    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(T.strip(text), pattern, k), F.lit("")), F.lit("0")).cast("long")
-    return F.when(T.strip(text).rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3) + part(4) / F.lit(unit))
+    """Seconds of a clock that fits ``pattern``; its parts are the digits between marks, hours first if there are any."""
+
+    def total(parts: Column) -> Column:
+        part = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)).cast("double"), F.lit(0.0))
+        return part(-4) * 3600 + part(-3) * 60 + part(-2) + part(-1) / F.lit(unit)
+
+    return T.let(T.strip(text), lambda t: F.when(t.rlike(pattern), T.let(F.split(t, "[:,.]"), total)))
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -38,29 +43,38 @@ def parse_styled_timestamp(text: Column) -> Column:
 
 def parse_time_line(line: Column) -> Column:
     """(start, end) of ``a --> b settings``; null where either doesn't parse."""
-    sides = F.split(line, "-->", 2)
-    start, end = parse_timestamp(F.get(sides, F.lit(0))), parse_timestamp(F.get(T.tokens(F.get(sides, F.lit(1))), F.lit(0)))
-    return F.when(F.contains(line, F.lit("-->")) & start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    ends = lambda sides: F.struct(parse_timestamp(F.get(sides, F.lit(0))).alias("start"), parse_timestamp(F.get(T.tokens(F.get(sides, F.lit(1))), F.lit(0))).alias("end"))
+    known = lambda x: F.when(x["start"].isNotNull() & x["end"].isNotNull(), x)
+    return F.when(F.contains(line, F.lit("-->")), T.let(T.let(F.split(line, "-->", 2), ends), known))
 
 
 def cue_text(lines: Column) -> Column:
     """One text of a cue's lines; rolling captions, told by their markup, drop what a line repeats."""
-    clean = F.filter(F.transform(lines, T.strip_cue_markup), lambda t: t != "")
-    rolling = F.exists(lines, lambda line: line.rlike(T.ROLLING))
-    merged = F.aggregate(clean, F.lit(""), lambda now, line: F.when(now == "", line).otherwise(T.merge_texts(now, line)))
-    return F.when(rolling & (F.size(clean) > 1), merged).otherwise(T.compact(F.array_join(clean, " ")))
+    bare = lambda line: F.when(F.contains(line, F.lit("<")) | F.contains(line, F.lit("&")), T.strip_cue_markup(line)).otherwise(T.compact(line))
+    rolling = F.exists(lines, lambda line: F.contains(line, F.lit("<")) & line.rlike(T.ROLLING))
+    merged = lambda clean: F.aggregate(clean, F.lit(""), lambda now, line: F.when(now == "", line).otherwise(T.merge_texts(now, line)))
+    joined = lambda clean: F.when(rolling & (F.size(clean) > 1), merged(clean)).otherwise(F.array_join(clean, " "))
+    return T.let(F.filter(F.transform(lines, bare), lambda t: t != ""), joined)
+
+
+def block_cue(body: Column) -> Column:
+    """(start, end, text) of a block; null for one without a time line and text lines."""
+
+    def timed(lines: Column) -> Column:
+        arrow = lambda k: F.coalesce(F.contains(F.get(lines, k), F.lit("-->")), F.lit(False))
+        first = F.when(F.get(lines, F.lit(0)).rlike(r"\A(?U:\d)+\z"), 1).otherwise(0)
+        named = lambda at: at + F.when(~arrow(at) & arrow(at + 1), 1).otherwise(0)
+        cue = lambda at: T.let(parse_time_line(F.get(lines, at)), lambda x: F.when(x.isNotNull() & (F.size(lines) > at + 1), F.struct(x["start"].alias("start"), x["end"].alias("end"), cue_text(F.slice(lines, at + 2, F.size(lines))).alias("text"))))
+        return F.when(F.size(lines) >= 2, T.let(T.let(first, named), cue))
+
+    return T.let(F.filter(F.transform(F.split(body, "\n"), T.strip), lambda t: t != ""), timed)
 
 
 def block_cues(files: DataFrame) -> DataFrame:
     """Cues of block-wise formats: source_id, block, start, end, text, of every block with a time line and text lines."""
-    blocks = files.select("source_id", F.posexplode(F.split(unified_newlines(F.col("raw_text")), r"\n{2,}")).alias("block", "body"))
-    lines = blocks.withColumn("lines", F.filter(F.transform(F.split("body", "\n"), T.strip), lambda t: t != "")).filter(F.size("lines") >= 2)
-    at = lambda k: F.get("lines", k)
-    arrow = lambda k: F.contains(at(k), F.lit("-->"))
-    numbered = lines.withColumn("at", F.when(at(F.lit(0)).rlike(r"\A(?U:\d)+\z"), 1).otherwise(0))
-    named = numbered.withColumn("at", F.col("at") + F.when((F.col("at") + 1 < F.size("lines")) & ~arrow(F.col("at")) & arrow(F.col("at") + 1), 1).otherwise(0))
-    timed = named.withColumn("time", parse_time_line(at(F.col("at")))).filter(F.col("time").isNotNull() & (F.size("lines") > F.col("at") + 1))
-    return timed.select("source_id", "block", "time.start", "time.end", cue_text(F.slice("lines", F.col("at") + 2, F.size("lines"))).alias("text"))
+    blocks = F.split(unified_newlines(F.col("raw_text")), r"\n{2,}")
+    found = files.select("source_id", F.posexplode(F.transform(blocks, block_cue)).alias("block", "cue"))
+    return found.filter("cue is not null").select("source_id", "block", "cue.*")
 
 
 def styled_cues(files: DataFrame) -> DataFrame:

@@ -24,10 +24,6 @@ def ordered(rows: DataFrame, index: str, *fields: str) -> DataFrame:
     return packed.select("source_id", F.transform("items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("items"))
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def null_of(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -36,36 +32,48 @@ def clean(cues: DataFrame) -> DataFrame:
     """source_id, utterances, raw, deduped, merged: repeated and rolling cues folded into the utterance before them.
 
     A cue is compared with the accumulated text: an equal one, or one that adds nothing, only moves its end;
-    one that overlaps or continues it is merged; any other starts a new utterance with what it adds.
+    one that overlaps or continues it is merged; any other starts a new utterance with what it adds.  A null
+    text is an empty one.  The open utterance keeps its words, so each cue is split once, and only as many
+    of the utterance's last words are looked at as the cue has.
     """
-    one = "struct<start:double,end:double,text:string>"
+    one = "struct<start:double,end:double,text:string,low:array<string>>"
 
-    def utterance(start: Column, end: Column, text: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), text.alias("text"))
+    def utterance(start: Column, end: Column, text: Column, low: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), text.alias("text"), low.alias("low"))
 
     def state(out: Column, last: Column, deduped: Column, merged: Column) -> Column:
         return F.struct(out.alias("out"), last.alias("last"), deduped.alias("deduped"), merged.alias("merged"))
 
+    def rest(words: Column, k: Column) -> Column:
+        return F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1)))
+
     def step(s: Column, cue: Column) -> Column:
-        before = s["last"]["text"]
+        last = s["last"]
+        before = last["text"]
 
-        def decide(seen: Column) -> Column:
-            k, more = seen["k"], seen["more"]
-            same = (F.lower(before) == F.lower(cue["text"])) | (more == "")
-            joins = ((k > 0) & ~T.ends_strongly(before)) | T.continues(before, more)
-            extend = lambda text: utterance(s["last"]["start"], cue["end"], text)
+        def merge(x: Column) -> Column:
+            """The cue's new words overlap the open utterance once more after the first removal."""
+            again = lambda k: T.let(T.added(before, x["more"], x["words"], k), lambda more: F.when(more == "", utterance(last["start"], cue["end"], before, last["low"])).otherwise(utterance(last["start"], cue["end"], T.compact(F.concat_ws(" ", before, more)), F.concat(last["low"], rest(x["low"], k)))))
+            return T.let(T.shared_words(last["low"], x["low"]), again)
+
+        def decide(x: Column) -> Column:
+            same = (x["more"] == "") | (F.lower(before) == F.lower(cue["text"]))
+            joins = ((x["k"] > 0) & ~T.ends_strongly(before)) | T.continues(before, x["more"], F.size(last["low"]))
             return (
-                F.when(before.isNull(), state(s["out"], cue, s["deduped"], s["merged"]))
-                .when(same, state(s["out"], extend(before), s["deduped"] + 1, s["merged"]))
-                .when(joins, state(s["out"], extend(T.merge_texts(before, more)), s["deduped"], s["merged"] + 1))
-                .otherwise(state(F.array_append(s["out"], s["last"]), utterance(cue["start"], cue["end"], more), s["deduped"], s["merged"]))
+                F.when(same, state(s["out"], utterance(last["start"], cue["end"], before, last["low"]), s["deduped"] + 1, s["merged"]))
+                .when(joins, state(s["out"], merge(x), s["deduped"], s["merged"] + 1))
+                .otherwise(state(F.array_append(s["out"], last.dropFields("low")), utterance(cue["start"], cue["end"], x["more"], x["low"]), s["deduped"], s["merged"]))
             )
 
-        return let(F.struct(T.word_overlap(before, cue["text"]).alias("k"), T.remove_overlap(before, cue["text"]).alias("more")), decide)
+        cut = lambda k: F.struct(k.alias("k"), T.added(before, cue["text"], cue["words"], k).alias("more"), rest(cue["words"], k).alias("words"), rest(cue["low"], k).alias("low"))
+        seen = T.let(T.shared_words(last["low"], cue["low"]), cut)
+        return F.when(before.isNull(), state(s["out"], utterance(cue["start"], cue["end"], cue["text"], cue["low"]), s["deduped"], s["merged"])).otherwise(T.let(seen, decide))
 
     start = state(F.array().cast(UTTERANCES), null_of(one), F.lit(0), F.lit(0))
-    folded = ordered(cues, "cue_index", "start", "end", "text").withColumn("f", F.aggregate("items", start, step))
-    return folded.select("source_id", F.array_append("f.out", F.col("f.last")).alias("utterances"), F.size("items").alias("raw"), "f.deduped", "f.merged")
+    text = F.coalesce("text", F.lit(""))
+    split = cues.select("source_id", "cue_index", "start", "end", text.alias("text"), T.tokens(text).alias("words"), T.tokens(F.lower(text)).alias("low"))
+    folded = ordered(split, "cue_index", "start", "end", "text", "words", "low").select("source_id", F.size("items").alias("raw"), F.aggregate("items", start, step).alias("f"))
+    return folded.select("source_id", F.array_append("f.out", F.col("f.last").dropFields("low")).alias("utterances"), "raw", "f.deduped", "f.merged")
 
 
 def paragraphs(cleaned: DataFrame) -> DataFrame:
@@ -78,20 +86,21 @@ def paragraphs(cleaned: DataFrame) -> DataFrame:
     def step(s: Column, u: Column) -> Column:
         gap = s["open"].isNotNull() & (u["start"] - s["end"] >= GAP_SECONDS)
         out = F.when(gap, F.array_append(s["out"], s["open"])).otherwise(s["out"])
-        fresh = record(u["start"], u["end"], u["text"], T.word_count(u["text"]))
-        longer = record(s["open"]["start"], u["end"], F.concat_ws(" ", s["open"]["text"], u["text"]), s["open"]["wordCount"] + T.word_count(u["text"]))
+        fresh = record(u["start"], u["end"], u["text"], u["words"])
+        longer = record(s["open"]["start"], u["end"], F.concat_ws(" ", s["open"]["text"], u["text"]), s["open"]["wordCount"] + u["words"])
         now = F.when(gap | s["open"].isNull(), fresh).otherwise(longer)
 
         def close(x: Column) -> Column:
             words = x["open"]["wordCount"]
-            full = ((words >= FULL_WORDS) & T.ends_strongly(u["text"])) | (words >= MOST_WORDS)
+            full = ((words >= FULL_WORDS) & u["stop"]) | (words >= MOST_WORDS)
             return F.struct(F.when(full, F.array_append(x["out"], x["open"])).otherwise(x["out"]).alias("out"), F.when(~full, x["open"]).alias("open"), u["end"].alias("end"))
 
-        return let(F.struct(out.alias("out"), now.alias("open")), close)
+        return T.let(F.struct(out.alias("out"), now.alias("open")), close)
 
+    counted = F.transform("utterances", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("text"), T.word_count(u["text"]).alias("words"), T.ends_strongly(u["text"]).alias("stop")))
     start = F.struct(F.array().cast(PARAGRAPHS).alias("out"), null_of(one).alias("open"), null_of("double").alias("end"))
-    folded = cleaned.withColumn("f", F.aggregate("utterances", start, step))
-    return folded.withColumn("paragraphs", F.when(F.col("f.open").isNotNull(), F.array_append("f.out", F.col("f.open"))).otherwise(F.col("f.out"))).drop("f")
+    whole = lambda f: F.when(f["open"].isNotNull(), F.array_append(f["out"], f["open"])).otherwise(f["out"])
+    return cleaned.withColumn("paragraphs", F.aggregate(counted, start, step, whole))
 
 
 def splits(track: Column, words: Column, count: Column, gap: Column, following: Column) -> Column:
@@ -102,26 +111,34 @@ def splits(track: Column, words: Column, count: Column, gap: Column, following:
 
 
 def segments(listed: DataFrame, track: Column) -> DataFrame:
-    """source_id, track, segmentIndex, start, end, startRef, endRef, wordCount, text, sceneSummary and the neighbours' summaries."""
+    """source_id, track, segmentIndex, start, end, startRef, endRef, wordCount, text, sceneSummary and the neighbours' summaries.
+
+    Segments are slices of a source's paragraphs, cut and joined inside its row: nothing is shuffled or sorted.
+    """
+    edge = lambda k: F.when(track == "article_reading", EDGES["article_reading"][k]).otherwise(EDGES["live_chat"][k])
 
     def step(s: Column, p: Column) -> Column:
         cut = splits(track, s["words"], s["count"], F.when(s["count"] > 0, p["start"] - s["end"]).otherwise(0.0), p["text"])
-        number = s["number"] + F.when(cut, 1).otherwise(0)
-        tail = F.struct(F.when(cut, 0).otherwise(s["words"]).alias("w"), F.when(cut, 0).otherwise(s["count"]).alias("c"))
-        return F.struct(number.alias("number"), (tail["w"] + p["wordCount"]).alias("words"), (tail["c"] + 1).alias("count"), p["end"].alias("end"), F.array_append(s["of"], number).alias("of"))
-
-    start = F.struct(F.lit(1).alias("number"), F.lit(0).alias("words"), F.lit(0).alias("count"), F.lit(0.0).alias("end"), F.array().cast("array<int>").alias("of"))
-    numbered = listed.select("source_id", track.alias("track"), "paragraphs", F.aggregate("paragraphs", start, step)["of"].alias("of"))
-    rows = numbered.select("source_id", "track", F.posexplode(F.arrays_zip("paragraphs", "of")).alias("at", "x")).select("source_id", "track", "at", "x.paragraphs.*", F.col("x.of").alias("segmentIndex"))
-    grouped = rows.groupBy("source_id", "track", "segmentIndex").agg(F.min_by("start", "at").alias("start"), F.max_by("end", "at").alias("end"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
-    joined = grouped.withColumn("text", F.array_join(F.transform("parts", lambda x: x["text"]), "\n\n")).drop("parts")
-    named = joined.withColumn("sceneSummary", T.segment_summary(F.col("text"), F.col("track"), F.col("segmentIndex"))).withColumn("wordCount", T.word_count(F.col("text")))
-    order = W.partitionBy("source_id", "track").orderBy("segmentIndex")
-    edge = lambda k: F.when(F.col("track") == "article_reading", EDGES["article_reading"][k]).otherwise(EDGES["live_chat"][k])
-    return named.select(
-        "source_id", "track", "segmentIndex", "start", "end", T.clock(F.col("start")).alias("startRef"), T.clock(F.col("end")).alias("endRef"), "wordCount", "text", "sceneSummary",
-        F.coalesce(F.lag("sceneSummary").over(order), edge(0)).alias("contextBefore"), F.coalesce(F.lead("sceneSummary").over(order), edge(1)).alias("contextAfter"),
-    )
+        next_ = lambda c: F.struct((s["at"] + 1).alias("at"), (F.when(c, 0).otherwise(s["words"]) + p["wordCount"]).alias("words"), (F.when(c, 0).otherwise(s["count"]) + 1).alias("count"), p["end"].alias("end"), F.when(c, F.array_append(s["cuts"], s["at"])).otherwise(s["cuts"]).alias("cuts"))
+        return T.let(cut, next_)
+
+    def segment(ps: Column, index: Column) -> Column:
+        text, words = F.array_join(F.transform(ps, lambda p: p["text"]), "\n\n"), F.aggregate(ps, F.lit(0), lambda n, p: n + p["wordCount"])
+        first, last = F.get(ps, F.lit(0))["start"], F.element_at(ps, -1)["end"]
+        named = lambda t: F.struct(index.alias("segmentIndex"), first.alias("start"), last.alias("end"), T.clock(first).alias("startRef"), T.clock(last).alias("endRef"), words.alias("wordCount"), t.alias("text"), T.segment_summary(t, track, index).alias("sceneSummary"))
+        return T.let(text, named)
+
+    def sliced(cuts: Column) -> Column:
+        return F.transform(cuts, lambda c, i: T.let(F.slice("paragraphs", c + 1, F.coalesce(F.get(cuts, i + 1), F.size("paragraphs")) - c), lambda ps: segment(ps, (i + 1).cast("int"))))
+
+    def placed(all_: Column) -> Column:
+        near = lambda k, side: F.coalesce(F.get(all_, k)["sceneSummary"], edge(side))
+        return F.transform(all_, lambda x, i: F.struct(x.alias("own"), near(i - 1, 0).alias("contextBefore"), near(i + 1, 1).alias("contextAfter")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("words"), F.lit(0).alias("count"), F.lit(0.0).alias("end"), F.array(F.lit(0)).alias("cuts"))
+    found = T.let(T.let(F.aggregate("paragraphs", start, step)["cuts"], sliced), placed)
+    rows = listed.filter(F.size("paragraphs") > 0).select("source_id", track.alias("track"), F.explode(found).alias("x"))
+    return rows.select("source_id", "track", "x.own.*", "x.contextBefore", "x.contextAfter")
 
 
 def transcripts(files: DataFrame) -> DataFrame:
