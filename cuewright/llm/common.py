@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,26 +14,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a local one."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a local one on a single machine, and an error on a cluster."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cuewright-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "zstd", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The lineage ends there, and a lost executor costs only its own tasks.
+    The lineage ends there, and a lost executor costs only its own tasks.  The write's shuffle files go
+    when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.options(**options).option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more: whatever was made from them is staged itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,39 @@
 """Operator 10: benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
-* Shingles are runs of five lower-case words.  A window can only be similar to an item whose shingles
-  it shares, so windows are laid where a document's shingle meets an item's: each meeting fixes one
-  start.  (document, item) pairs whose shared item shingles weigh under 0.75 of the item's weight
-  cannot reach the similarity, and go.
-* Each window of the item's length gets a 64-bit SimHash of its weighted shingles.  Windows and items
-  meet in multi-index blocks: with RADIUS + 1 blocks, any fingerprint within RADIUS bits equals the
-  item's in one of them.  At a similarity of 0.75 the expected distance is 11 bits, with a standard
-  deviation of 3; RADIUS stands more than four of those beyond.
-* The weighted Jaccard similarity on exact shingle sets verifies, at 0.75 or more.  A shingle weighs
-  ln(1 + items / items that have it); one that no item has weighs ln(1 + items).
+* Shingles are runs of five lower-case words.  One weighs ln(1 + items / items that have it); one that
+  no item has weighs ln(1 + items).  Weights are whole numbers of 1e-12, so sums are the same in any order.
+* A window similar to an item holds shingles of that item which weigh ``least`` of the item's weight.
+  Of every document, all windows of an item's length that hold so much of it are laid, at every start
+  (counting a shingle as often as it stands there, which only lets more windows through).
+* Each window is printed once: a 64-bit SimHash in which a shingle votes with the root of its weight.
+  With these votes the cosine of two sets is at least common / sqrt(own * other), so that a
+  similarity of 0.75 means a cosine of 6/7 at least, and 11 bits of distance on average, with a
+  standard deviation of 3, however unequal the weights are.
+* Windows and all items of their length meet in a multi-index of BLOCKS wide blocks: every item is
+  listed under all values within RADIUS / BLOCKS bits of each of its blocks, which finds every pair
+  within RADIUS bits.
+* Of a document and an item that so meet, the weighted Jaccard similarity of the exact shingle sets
+  verifies every window, at 0.75 or more, and the best one is returned (itself at any distance).
 
 Null and empty texts, and texts or items under five words, match nothing.  Rows with null ids are
-passed over.  Repeated rows are one document.
+passed over.  Repeated rows are one document; different texts of one doc_id are looked at one by one,
+and the best window of any counts.  Of repeated item ids, the text of the least hash counts.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, staged
+from .common import broadcast_if_small, discard, let, staged
 
 WIDTH = 5
-RADIUS = 24
+BLOCKS, RADIUS = 4, 19  # blocks of 16 bits; RADIUS < BLOCKS * (bits probed in a block + 1)
+UNIT = 1e12
 SIMILARITY = 0.75
 BROADCAST_SHINGLES = 1_000_000
 BROADCAST_DOCS = 200_000
@@ -39,56 +49,88 @@ def shingles(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= WIDTH, runs(w)))
 
 
-def simhash(weighted: Column) -> Column:
-    """64 bits from an array of (h, w): each bit is the sign of the weights' sum, negative where a hash lacks it."""
-    has = lambda h, b: F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long")) == 1
-    total = lambda b: F.aggregate(weighted, F.lit(0.0), lambda s, x: s + F.when(has(x["h"], b), x["w"]).otherwise(-x["w"]))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, b: f.bitwiseOR(F.when(total(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
+def printed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``key``, weight and the SimHash of each group of distinct shingles (h, w): a bit is set if the votes for it are more than half."""
+    vote = F.round(F.sqrt(F.col("w") / UNIT) * (1 << 20)).cast("long")
+    has = lambda b: F.call_function("shiftright", F.col("h"), F.lit(b)).bitwiseAND(F.lit(1).cast("long"))
+    sums = rows.withColumn("vote", vote).groupBy(*key).agg(F.sum("w").alias("weight"), F.sum("vote").alias("votes"), *[F.sum(F.col("vote") * has(b)).alias(f"bit{b}") for b in range(64)])
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(2 * F.col(f"bit{b}") > F.col("votes"), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(b))).otherwise(F.lit(0).cast("long")) for b in range(64)])
+    return sums.select(*key, "weight", bits.alias("fingerprint"))
+
+
+def blocks(fingerprint: Column) -> Column:
+    """(number, bits) of each block of the fingerprint."""
+    width = 64 // BLOCKS
+    return F.array(*[F.struct(F.lit(k).alias("number"), F.call_function("shiftright", fingerprint, F.lit(k * width)).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for k in range(BLOCKS)])
+
+
+def nearby(radius: int) -> Column:
+    """All masks of at most radius / BLOCKS bits of a block."""
+    width = 64 // BLOCKS
+    return F.array(*[F.lit(sum(1 << b for b in chosen)).cast("long") for n in range(radius // BLOCKS + 1) for chosen in combinations(range(width), n)])
 
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of radius + 1 blocks that share out the 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    parts = [F.struct(F.lit(k).alias("number"), F.call_function("shiftright", fingerprint, F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*parts)
+def window_starts(hits: Column, span: Column, bound: Column) -> Column:
+    """Starts of the windows of ``span`` shingles in which the hits (pos, w), in order, weigh ``bound`` or more.
+
+    A window whose first hit is the i-th starts after the hit before it; at most ``span`` hits follow.
+    """
+
+    def of_hit(x: Column, i: Column) -> Column:
+        def tried(own: Column) -> Column:
+            inside = lambda s: F.aggregate(own, F.lit(0).cast("long"), lambda n, y: n + F.when(y["pos"] < s + span, y["w"]).otherwise(F.lit(0).cast("long"))) >= bound
+            low = F.greatest(x["pos"] - span + 1, F.coalesce(F.get(hits, i - 1)["pos"] + 1, F.lit(0)), F.lit(0))
+            return F.when(inside(x["pos"]), F.filter(F.sequence(low, x["pos"]), inside)).otherwise(F.array().cast("array<int>"))
+
+        return let(F.slice(hits, i + 1, span), tried)
+
+    return F.flatten(F.transform(hits, of_hit))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start (word), n_words, distance, similarity: the best window of each document and item."""
-    named = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words"))
-    items = staged(named.dropDuplicates(["item_id"]).select("item_id", F.size("words").alias("n_words"), shingles(F.col("words")).alias("hashes")).filter("hashes is not null"), "items")
+    named = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    items = staged(named.select("item_id", words_of(F.col("text")).alias("words")).select("item_id", F.size("words").alias("n_words"), F.array_distinct(shingles(F.col("words"))).alias("hashes")).filter("hashes is not null"), "items")
     n = items.count()
-    top = F.log(F.lit(1.0 + n))
-    each = items.select("item_id", "n_words", F.posexplode("hashes").alias("at", "h"))
-    weights = each.groupBy("h").agg(F.log(F.lit(1.0) + F.lit(float(n)) / F.count_distinct("item_id")).alias("w"))
+    top = F.lit(round(math.log1p(n) * UNIT))
+    each = items.select("item_id", "n_words", F.explode("hashes").alias("h"))
+    weights = each.groupBy("h").agg(F.round(F.log(F.lit(1.0) + F.lit(float(n)) / F.count("*")) * UNIT).cast("long").alias("w"))
     listed = staged(each.join(weights, "h"), "listed")
-    whole = listed.select("item_id", "h", "w").distinct().groupBy("item_id").agg(F.sum("w").alias("item_weight"))
-
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), shingles(words_of(F.col("text"))).alias("hashes"))
-    met = texts.select("doc_id", F.posexplode("hashes").alias("pos", "h")).join(broadcast_if_small(listed, BROADCAST_SHINGLES), "h")
-    met = staged(met.select("doc_id", "item_id", "n_words", "h", "w", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start")).distinct(), "met")
-    enough = met.select("doc_id", "item_id", "h", "w").distinct().groupBy("doc_id", "item_id").agg(F.sum("w").alias("shared")).join(whole, "item_id").filter(F.col("shared") >= least * F.col("item_weight") - 1e-9)
-    starts = staged(met.select("doc_id", "item_id", "n_words", "start").distinct().join(enough, ["doc_id", "item_id"], "left_semi"), "starts")
+    models = printed(listed, ["item_id", "n_words"]).join(listed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("item")), "item_id")
+    models = staged(models.withColumnRenamed("weight", "item_weight").withColumnRenamed("fingerprint", "model"), "models")  # an item's shingles, which its text bounds
+
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    key = ["doc_id", "version"]
+    met = own.select(*key, F.posexplode(shingles(words_of(F.col("text")))).alias("pos", "h")).join(broadcast_if_small(listed, BROADCAST_SHINGLES), "h")
+    # a document's hits of one item, which its text bounds
+    pairs = met.groupBy(*key, "item_id", "n_words").agg(F.array_sort(F.collect_set(F.struct("pos", "w", "h"))).alias("hits"))
+    shared = F.aggregate(F.array_distinct(F.transform("hits", lambda x: F.struct(x["h"], x["w"].alias("w")))), F.lit(0).cast("long"), lambda s, x: s + x["w"])
+    bound = F.col("item_weight") * least - UNIT * 1e-9
+    enough = pairs.join(broadcast_if_small(models.select("item_id", "item_weight"), BROADCAST_SHINGLES), "item_id").filter(shared >= bound)
+    starts = enough.select(*key, "n_words", F.explode(window_starts(F.col("hits"), F.col("n_words") - WIDTH + 1, bound)).alias("start"))
+    starts = staged(starts.distinct(), "starts")
 
     # the windows' shingles: those that items have with their weights, the others at the top weight
-    wanted = broadcast_if_small(starts.select("doc_id").distinct(), BROADCAST_DOCS)
-    own = staged(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    windows = starts.join(own, "doc_id").select("doc_id", "item_id", "n_words", "start", F.array_distinct(F.slice("hashes", F.col("start") + 1, F.col("n_words") - WIDTH + 1)).alias("window"))
-    known = windows.select("doc_id", "item_id", "start", F.explode("window").alias("h")).join(broadcast_if_small(weights, BROADCAST_SHINGLES), "h", "left")
-    signed = known.groupBy("doc_id", "item_id", "start").agg(F.collect_list(F.struct("h", F.coalesce("w", top).alias("w"))).alias("weighted"))  # at most one window's shingles
-    prints = staged(signed.select("doc_id", "item_id", "start", "weighted", simhash(F.col("weighted")).alias("fingerprint")), "prints")
-    models = staged(listed.select("item_id", "n_words", "h", "w").distinct().groupBy("item_id", "n_words").agg(F.collect_list(F.struct("h", "w")).alias("item")).withColumn("model", simhash(F.col("item"))), "models")
-
-    left = prints.select("doc_id", "item_id", "start", F.explode(blocks(F.col("fingerprint"), radius)).alias("block"))
-    right = models.select("item_id", F.explode(blocks(F.col("model"), radius)).alias("block"))
-    near = left.join(right, ["item_id", "block"]).select("doc_id", "item_id", "start").distinct()
-    weigh = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"])
-    both = prints.join(near, ["doc_id", "item_id", "start"], "left_semi").join(models, "item_id").withColumn("distance", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("model")))).filter(F.col("distance") <= radius)
-    hashes = lambda a: F.transform(a, lambda x: x["h"])
-    common = let(hashes(F.col("weighted")), lambda own: weigh(F.filter("item", lambda x: F.array_contains(own, x["h"]))))
-    scored = both.withColumn("similarity", common / (weigh(F.col("item")) + weigh(F.col("weighted")) - common)).filter(F.col("similarity") >= least - 1e-9)
-    best = F.max_by(F.struct("start", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.start", "best.n_words", "best.distance", F.round("best.similarity", 9).alias("similarity"))
+    wanted = broadcast_if_small(starts.select(*key).distinct(), BROADCAST_DOCS)
+    texts = staged(own.join(wanted, key, "left_semi").dropDuplicates(key).select(*key, shingles(words_of(F.col("text"))).alias("hashes")), "texts")
+    window = F.array_distinct(F.slice("hashes", F.col("start") + 1, F.col("n_words") - WIDTH + 1))
+    place = [*key, "n_words", "start"]
+    shown = starts.join(texts, key).select(*place, F.explode(window).alias("h")).join(broadcast_if_small(weights, BROADCAST_SHINGLES), "h", "left")
+    prints = staged(printed(shown.select(*place, "h", F.coalesce("w", top).alias("w")), place), "prints")
+
+    left = prints.select(*key, "n_words", "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("block"))
+    right = models.select("item_id", "n_words", "model", F.explode(blocks(F.col("model"))).alias("block")).select("item_id", "n_words", "model", "block.number", "block.bits", F.explode(nearby(radius)).alias("mask"))
+    probes = right.select("item_id", "n_words", "model", F.struct("number", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")).alias("block"))
+    near = left.join(probes, ["n_words", "block"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("model"))) <= radius).select(*key, "n_words", "item_id").distinct()
+    # of a document and an item that meet, all windows are compared
+    near = prints.join(near, [*key, "n_words"])
+    both = near.join(texts, key).select(*place, "weight", "fingerprint", "item_id", window.alias("window")).join(broadcast_if_small(models.select("item_id", "item_weight", "item", "model"), BROADCAST_SHINGLES // 50), "item_id")
+    common = F.aggregate("item", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("window", x["h"]), x["w"]).otherwise(F.lit(0).cast("long")))
+    scored = both.withColumn("common", common).withColumn("similarity", F.col("common") / (F.col("item_weight") + F.col("weight") - F.col("common"))).filter(F.col("similarity") >= least - 1e-9)
+    best = F.max_by(F.struct("start", "n_words", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("model"))).alias("distance"), "similarity"), F.struct("similarity", -F.col("start")))
+    found = staged(scored.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.start", "best.n_words", "best.distance", F.round("best.similarity", 9).alias("similarity")), "matches")
+    discard(items, listed, models, starts, texts, prints)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -385,3 +385,38 @@ def test_pipeline(spark):
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
     assert kept[0] >= kept[1] >= kept[2] == kept[3] == kept[4] and len(kept[0]) > len(kept[2]) > 100
     assert set(queries.queries()) and "op4_sharding" in queries.oracle_sql()
+
+
+def test_decontamination_of_rearranged_items(spark, documents):
+    import random
+
+    rng = random.Random(5)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{DATA}/benchmark.parquet'").fetchall()
+    item = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    items = [*items[:40], (900, " ".join(item)), (901, " ".join([*item[:50], *(f"v{k}" for k in range(10))]))]
+    rows = [(9000, " ".join(["a b c d", *item[30:], *item[:30], "e f g"]))]  # halves exchanged
+    for k in range(150):
+        w = list(dict(items)[rng.choice(items)[0]].split())
+        for _ in range(rng.randrange(3)):
+            at, to = rng.randrange(len(w)), rng.randrange(len(w) + 1)
+            w = [*w[:to], *w[at : at + rng.randrange(1, 9)], *w[to:]] if rng.random() < 0.5 else [*w[:at], f"x{rng.randrange(99)}", *w[at + 1 :]]
+        rows.append((9001 + k, " ".join([*(f"y{rng.randrange(999)}" for _ in range(rng.randrange(30))), *w, *(f"y{rng.randrange(999)}" for _ in range(rng.randrange(30)))])))
+    want = brute_matches(rows, items)
+    found = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start) for r in decontamination.matches(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k: (round(s, 6), a) for k, (s, a) in want.items()}
+    assert (9000, 900) in found and len(want) > 70
+    assert found.items() <= want.items()  # nothing else, and always the best window
+    assert {k: v for k, v in want.items() if v[0] >= 0.8}.items() <= found.items() and len(found) >= 0.97 * len(want)
+
+
+def test_every_print_within_the_radius_meets(spark):
+    rng = np.random.default_rng(8)
+    model = int(rng.integers(-(2**63), 2**63))
+    masks = {int(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in range(decontamination.RADIUS + 1) for _ in range(20)}
+    signed = lambda x: (x & (2**64 - 1)) - (2**64 if x >> 63 & 1 else 0)
+    from pyspark.sql import functions as F
+
+    prints = spark.createDataFrame([(signed(model ^ m),) for m in masks], "f long").select("f", F.explode(decontamination.blocks(F.col("f"))).alias("b"))
+    listed = spark.createDataFrame([(model,)], "m long").select(F.explode(decontamination.blocks(F.col("m"))).alias("x")).select("x.number", "x.bits", F.explode(decontamination.nearby(decontamination.RADIUS)).alias("mask"))
+    met = prints.join(listed.select(F.struct("number", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")).alias("b")), "b").select("f").distinct()
+    assert met.count() == len(masks)
