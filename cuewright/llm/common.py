@@ -108,6 +108,25 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def hot_rows(total: int) -> int:
+    """From how many rows on a key of ``total`` rows is hot: at most 10,000 keys can be."""
+    return max(1000, total // 10_000)
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``keyed`` (staged, one row a key), whose ``count`` tells how many rows have the key.
+
+    The rows of hot keys stay in their tasks and meet a broadcast of at most 10,000 keys; no task
+    gathers a hot key.
+    """
+    hot = F.col(count) > hot_rows(total)
+    few = keyed.filter(hot)
+    if not few.limit(1).count():
+        return rows.join(keyed.drop(count), keys, how)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(keyed.filter(~hot).drop(count), keys, how)
+    return rows.join(F.broadcast(few.drop(count)), keys).unionByName(rest)
+
+
 def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[np.ndarray, int]:
     """A bitmap of hashed ids (one column), and its mask: 16 bits an id, at most ``most_bits``.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_filter, maybe_in, staged, text_slices, utf8_bytes
+from .common import broadcast_if_small, discard, id_filter, join_by_key, maybe_in, staged, text_slices, utf8_bytes
 from .components import components
 from .word_hashes import shingle_sets
 
@@ -98,28 +98,20 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(maybe_in(*bitmap.value, batch["hash"].to_numpy())))
             for part in text_slices(iter([batch]), "text", SLICE):
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([s.tobytes() for s in batch_sets(part, width)], pa.binary())], ["doc_id", "hashes"])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, left = [], None, None
-            for k, (a, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["x"], batch["y"], strict=True)):
-                if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), np.uint64)
-                right = np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([left, right])
-                both.sort(kind="stable")  # two sorted runs: merged in linear time
-                if 7 * int(np.count_nonzero(both[1:] == both[:-1])) >= 3 * len(both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                sets = [s.view(np.int64) for s in batch_sets(part, width)]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(ends, np.concatenate(sets))], ["doc_id", "hashes"])
 
     wanted = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(full, "doc_id long, hashes binary")
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(full, "doc_id long, hashes array<long>")
     sets = staged(hashed.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sets")
+    # compared row by row where they are joined: no batch ever holds the sets of many pairs
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(overlap, "a long, b long"), "links")
+    linked = staged(both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
+    discard(wanted, sets)
+    return linked
 
 
 def possible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -154,7 +146,7 @@ def ngram_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     signed = signatures(docs, width)
     key = ["digest1", "digest2", "n"]
     sets = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    reps = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    reps = staged(signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
 
     entries = sets.select("rep", "n", F.posexplode("prefix").alias("pos", "hash"))
     shared = entries.groupBy("hash").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last").select("hash", "pivot")
@@ -166,11 +158,15 @@ def ngram_components(docs: DataFrame, width: int = 5, id_col: str = "doc_id", te
     links = verified(staged(possible(first, lists), "first"), docs, width)
     known = staged(components(links), "components")
     rest = staged(possible(list_pairs(lists, known), lists).join(links.select("a", "b").union(links.select("b", "a")), ["a", "b"], "left_anti"), "pairs")
+    discard(lists)
     more = verified(rest, docs, width)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    named = signed.select("doc_id", *key).join(reps, key, "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    # each set's answer, which its copies share
+    answers = staged(reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component_id")), "answers")
+    discard(rest, more, known, links, reps)
+    named = join_by_key(signed.select("doc_id", *key), answers, key, "copies", signed.count(), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, width: int = 5) -> DataFrame:
