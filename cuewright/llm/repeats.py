@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, staged, text_slices, utf8_bytes
+from .common import discard, join_by_key, maybe_in, staged, text_slices, utf8_bytes
 from .passages import SPANS, without_spans
 from .word_hashes import FACTOR, mix, words
 
@@ -46,10 +46,16 @@ class Words:
         powers = np.multiply.accumulate(np.concatenate([one, np.full(len(self.hashes), FACTOR)]))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[:-1], dtype=np.uint64)])
         self.undo = np.multiply.accumulate(np.concatenate([one, np.full(len(self.hashes), inverse)]))
+        self.others = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hashes + FACTOR) * powers[:-1], dtype=np.uint64)])
 
-    def digests(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Digests of the runs from word ``first`` up to word ``stop``, the same wherever a run stands."""
-        return mix((self.sums[stop] - self.sums[first]) * self.undo[first] + mix((stop - first).astype(np.uint64)))
+    def digests(self, first: np.ndarray, stop: np.ndarray, other: bool = False) -> np.ndarray:
+        """Digests of the runs from word ``first`` up to word ``stop``, the same wherever a run stands; ``other``: independent ones."""
+        sums = self.others if other else self.sums
+        return mix((sums[stop] - sums[first]) * self.undo[first] + mix((stop - first).astype(np.uint64)))
+
+    def spans(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """First code point and end of the runs in one number, which orders them as the text does."""
+        return (self.start[first] << 32) + self.end[stop - 1]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and end of each line that has words."""
@@ -84,49 +90,68 @@ class Words:
 
 
 def bitmap_of(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the rows' digest ^ doc_id ^ place, and its mask; 16 bits a row, at most 8 MB."""
+    """A bitmap of the rows' digest ^ doc_id ^ span, and its mask; 16 bits a row, at most 8 MB."""
     bits = min(1 << 26, 1 << (max(16 * rows.count(), 1024) - 1).bit_length())
-    slots = rows.select(F.expr(f"(digest ^ doc_id ^ place) & {bits - 1}L").alias("slot"))
+    slots = rows.select(F.expr(f"(digest ^ doc_id ^ span) & {bits - 1}L").alias("slot"))
     found = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toPandas()
     out = np.zeros(bits // 32, np.uint32)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     return out, bits - 1
 
 
-def is_later(least_gap: int | F.Column) -> F.Column:
-    """Whether a row stands in a later document than its ``first``, or in the same one by ``least_gap`` words later."""
-    return (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") >= F.col("first.place") + least_gap))
+START, END = "shiftright({}, 32)", "({} & 4294967295)"
+
+
+def is_later(disjoint: str) -> F.Column:
+    """Whether a row stands in a later document than its ``first``, or later in the same one: behind its end where ``disjoint``."""
+    behind = f"if({disjoint}, {START.format('span')} >= {END.format('first.span')}, span > first.span)"
+    return F.expr(f"doc_id > first.doc_id or (doc_id = first.doc_id and {behind})")
+
+
+def cut_out(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.expr(START.format("span")).cast("int").alias("start"), F.expr(END.format("span")).cast("int").alias("end"))
 
 
 def later_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start, end of each later occurrence of a line, and of a run of ``RUN`` words.
 
-    Lines and groups of runs are compared whole at first.  Where an anchor stands in groups that
-    differ, or in one that overlaps its own earliest occurrence, a second pass compares run by run.
+    Lines (odd digests) and groups of runs (even ones) are compared whole at first, by two independent
+    digests of 64 bits.  Where an anchor stands in groups that differ, or in one that overlaps its own
+    earliest occurrence, a second pass compares run by run.
     """
 
+    def table(ids: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c.view(np.int64)) for c in columns)], ["doc_id", "digest", "whole", "span"])
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
             w = Words(*utf8_bytes(batch["text"]))
             (first, stop), (anchor, low, high) = w.lines(), w.groups()
-            digest = np.concatenate([w.digests(first, stop), anchor])
-            whole = np.concatenate([np.zeros(len(first), np.uint64), w.digests(low, high + RUN)])
+            digest = np.concatenate([w.digests(first, stop) | np.uint64(1), anchor & ~np.uint64(1)])
+            whole = np.concatenate([w.digests(first, stop, other=True), w.digests(low, high + RUN)])
             first, stop = np.concatenate([first, low]), np.concatenate([stop, high + RUN])
-            ints = (pa.array(c.astype(np.int32)) for c in (w.place[first], w.start[first], w.end[stop - 1]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(w.text[first])), pa.array(digest.view(np.int64)), pa.array(whole.view(np.int64)), *ints], ["doc_id", "digest", "whole", "place", "start", "end"])
-
-    rows = staged(docs.mapInArrow(split, "doc_id long, digest long, whole long, place int, start int, end int"), "rows")
-    often = rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    again = staged(rows.join(often, "digest"), "repeated")
-    first = staged(again.groupBy("digest", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")), "first")
-    known = again.join(first.filter("n > 1").drop("n"), ["digest", "whole"])
-    whole = known.filter(is_later(F.when(F.col("whole") == 0, 1).otherwise(RUN))).select("doc_id", "start", "end")
+            yield table(batch["doc_id"].take(pa.array(w.text[first])), digest, whole, w.spans(first, stop))
+
+    schema, key = "doc_id long, digest long, whole long, span long", ["digest", "whole"]
+    rows = staged(docs.mapInArrow(split, schema), "rows")
+    # digests alone tell which units recur; only their rows go on
+    often = staged(rows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    again = staged(join_by_key(rows, often, ["digest"], "n", rows.count()), "repeated")
+    discard(rows, often)
+    total = again.count()
+    first = staged(again.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("first")), "first")
+    known = staged(join_by_key(again, first.filter("n > 1"), key, "n", total), "known")
+    discard(again)
+    group = "digest & 1 = 0"
+    whole = cut_out(known.filter(is_later(group)))
 
     # whole groups that repeat are done; what is left are the groups at the edges of a repeated passage
-    own = first.filter("whole <> 0").select("digest", "whole", "first.*")
-    overlaps = known.filter((F.col("whole") != 0) & ~is_later(RUN) & (F.struct("doc_id", "place") > F.col("first"))).select("digest", "whole", "doc_id", "place")
-    several = own.unionByName(overlaps).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    wanted = staged(own.unionByName(overlaps).join(several, "digest").select("digest", "doc_id", "place"), "edges")
+    own = first.filter(group).select(*key, "first.*")
+    overlaps = known.filter(F.expr(group) & ~is_later(group) & (F.struct("doc_id", "span") > F.col("first"))).select(*key, "doc_id", "span")
+    several = own.unionByName(overlaps).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    several = staged(several, "several")
+    wanted = staged(join_by_key(own.unionByName(overlaps), several, ["digest"], "n", total).select("digest", "doc_id", "span"), "edges")
+    discard(first, several)
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,15 +159,16 @@ def later_spans(docs: DataFrame) -> DataFrame:
             w = Words(*utf8_bytes(batch["text"]))
             anchor, low, high = w.groups()
             ids = batch["doc_id"].to_numpy()[w.text[low]]
-            good = maybe_in(*bitmap.value, anchor.view(np.int64) ^ ids ^ w.place[low])
+            good = maybe_in(*bitmap.value, (anchor & ~np.uint64(1)).view(np.int64) ^ ids ^ w.spans(low, high + RUN))
             low, count = low[good], (high - low + 1)[good]
             run = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            ints = (pa.array(c.astype(np.int32)) for c in (w.place[run], w.start[run], w.end[run + RUN - 1]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(w.text[run])), pa.array(w.digests(run, run + RUN).view(np.int64)), *ints], ["doc_id", "digest", "place", "start", "end"])
+            yield table(batch["doc_id"].take(pa.array(w.text[run])), w.digests(run, run + RUN), w.digests(run, run + RUN, other=True), w.spans(run, run + RUN))
 
-    runs = staged(docs.mapInArrow(single, "doc_id long, digest long, place int, start int, end int"), "runs")
-    earliest = runs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).filter("n > 1").drop("n")
-    return whole.unionByName(runs.join(earliest, "digest").filter(is_later(RUN)).select("doc_id", "start", "end"))
+    runs = staged(docs.mapInArrow(single, schema), "runs")
+    earliest = staged(runs.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("first")).filter("n > 1"), "earliest")
+    found = staged(whole.unionByName(cut_out(join_by_key(runs, earliest, key, "n", runs.count()).filter(is_later("true")))), "spans")
+    discard(known, wanted, runs, earliest)
+    return found
 
 
 def merged(spans: DataFrame) -> DataFrame:
