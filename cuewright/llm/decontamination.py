@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, discard, let, staged
 
 WIDTH = 5
-BLOCKS, RADIUS = 4, 19  # blocks of 16 bits; RADIUS < BLOCKS * (bits probed in a block + 1)
+BLOCKS, RADIUS = 5, 19  # blocks of 12 or 13 bits; RADIUS < BLOCKS * (bits probed in a block + 1)
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 UNIT = 1e12
 SIMILARITY = 0.75
 BROADCAST_SHINGLES = 1_000_000
@@ -60,13 +61,13 @@ def printed(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def blocks(fingerprint: Column) -> Column:
     """(number, bits) of each block of the fingerprint."""
-    width = 64 // BLOCKS
-    return F.array(*[F.struct(F.lit(k).alias("number"), F.call_function("shiftright", fingerprint, F.lit(k * width)).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for k in range(BLOCKS)])
+    part = lambda a, b: F.call_function("shiftright", fingerprint, F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+    return F.array(*[F.struct(F.lit(k).alias("number"), part(a, b).alias("bits")) for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))])
 
 
 def nearby(radius: int) -> Column:
     """All masks of at most radius / BLOCKS bits of a block."""
-    width = 64 // BLOCKS
+    width = max(b - a for a, b in zip(EDGES, EDGES[1:], strict=False))
     return F.array(*[F.lit(sum(1 << b for b in chosen)).cast("long") for n in range(radius // BLOCKS + 1) for chosen in combinations(range(width), n)])
 
 
@@ -121,7 +122,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least:
     left = prints.select(*key, "n_words", "fingerprint", F.explode(blocks(F.col("fingerprint"))).alias("block"))
     right = models.select("item_id", "n_words", "model", F.explode(blocks(F.col("model"))).alias("block")).select("item_id", "n_words", "model", "block.number", "block.bits", F.explode(nearby(radius)).alias("mask"))
     probes = right.select("item_id", "n_words", "model", F.struct("number", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")).alias("block"))
-    near = left.join(probes, ["n_words", "block"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("model"))) <= radius).select(*key, "n_words", "item_id").distinct()
+    near = left.join(probes.hint("merge"), ["n_words", "block"]).filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("model"))) <= radius).select(*key, "n_words", "item_id").distinct()
+    # (merged, as the probes are many more than the items from which Spark would guess their size)
     # of a document and an item that meet, all windows are compared
     near = prints.join(near, [*key, "n_words"])
     both = near.join(texts, key).select(*place, "weight", "fingerprint", "item_id", window.alias("window")).join(broadcast_if_small(models.select("item_id", "item_weight", "item", "model"), BROADCAST_SHINGLES // 50), "item_id")
