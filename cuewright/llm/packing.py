@@ -2,8 +2,10 @@
 
 Hierarchical residual packing.  Each partition cuts its documents into pieces and packs them by
 best fit, longest first.  Bins that are nearly full leave as sequences.  The underfull ones become
-items of a tree merge: each round deals them to fewer groups, packs every group by best fit again,
-and emits what is nearly full, until one group is left or a round no longer saves bins.
+items of a tree merge: each round deals them anew to as many groups as their number asks for, packs
+every group by best fit again, and emits what is nearly full.  It ends when one group has packed all,
+or when a round saves under ``LEAST_SAVING`` of the bins; a group never gathers what the rounds before
+could not shrink.
 
 A null or empty text is the single end token.  Repeated rows are packed as often as they occur; a
 null doc_id is kept; other columns are not read.  Only pieces, bins and their sizes are held or
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import staged, text_slices
 from .word_encoder import encoder
 
+LEAST_SAVING = 0.01
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long"
 
 
@@ -113,10 +116,10 @@ def merge_rounds(items: DataFrame, capacity: int, near_full: int, group_items: i
         names[bins[first]] = group["bin"].to_numpy()[first]
         return pd.DataFrame({"bin": group["bin"], "target": names[bins], "shift": shift, "fill": fills[bins]})
 
-    moved, n, groups = None, items.count(), None
-    while n > 1 and groups != 1:
-        groups = max(1, min(-(-n // group_items), groups // 4 if groups else n))
-        dealt = items.withColumn("group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+    moved, n, rounds = None, items.count(), 0
+    while n > 1:
+        groups = group_count(n, group_items)
+        dealt = items.withColumn("group", group_of(groups, rounds))
         packed = staged(dealt.groupBy("group").applyInPandas(lambda g: one_group(g[["bin", "fill"]]), "bin long, target long, shift long, fill long"), "merged")
         if moved is None:
             moved = packed.select("bin", "target", "shift")
@@ -124,6 +127,17 @@ def merge_rounds(items: DataFrame, capacity: int, near_full: int, group_items: i
             later = packed.select(F.col("bin").alias("target"), F.col("target").alias("to"), F.col("shift").alias("by"))
             moved = staged(moved.join(later, "target", "left").select("bin", F.coalesce("to", "target").alias("target"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")), "moved")
         items = packed.filter((F.col("bin") == F.col("target")) & (F.col("fill") < capacity - near_full)).select("bin", "fill")
-        left = items.count()
-        n, groups = left, (1 if left == n else groups)
+        left, rounds = items.count(), rounds + 1
+        if groups == 1 or n - left < LEAST_SAVING * n:
+            break
+        n = left
     return moved
+
+
+def group_count(n: int, group_items: int) -> int:
+    """So many groups that an even deal fills them by half, and none beyond ``group_items``."""
+    return 1 if n <= group_items else -(-2 * n // group_items)
+
+
+def group_of(groups: int, rounds: int) -> F.Column:
+    return F.pmod(F.xxhash64("bin", F.lit(rounds)), F.lit(groups))

@@ -19,7 +19,7 @@ from .common import ragged_take
 
 #: Letters whose lower case and composition are the same everywhere, then punctuation without the apostrophe.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_alphabet() -> dict[int, str]:
