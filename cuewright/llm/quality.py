@@ -113,31 +113,41 @@ def site_rates(scored: DataFrame, host: str, path: str) -> tuple[DataFrame, floa
     paths = staged(scored.select(F.col(host).alias("host_"), F.col(path).alias("path_"), p.alias("p")).groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("total")), "sites")
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    rate = (whole.total or 0.0) / max(whole.n or 0, 1)
+    all_n, all_total = max(whole.n or 0, 1), whole.total or 0.0
+    rate = all_total / all_n
 
     def prior(level: DataFrame) -> float:
-        """The size of a beta prior whose spread is that between sites beyond what their sizes explain."""
-        m = level.agg(F.count("*").alias("k"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - rate, 2)).alias("between"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n").cast("double")).alias("nn")).first()
-        within = max(rate * (1 - rate), 1e-9)
-        room = (m.n or 0) - (m.nn or 0) / max(m.n or 1, 1)
-        excess = max(((m.between or 0.0) - max((m.k or 1) - 1, 0) * within) / room, 0.0) if room > 0 else 0.0
-        return float(min(max(within / excess - 1 if excess > 0 else 1e6, 5.0), 1e6))
-
-    for_host, for_path = prior(hosts), prior(paths)
+        """The size of a beta prior whose spread is that of sites within their parents (mean ``m``, rows ``of``) beyond what their sizes explain."""
+        v = F.greatest(F.col("m") * (1 - F.col("m")), F.lit(1e-9))
+        found = level.agg(F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - F.col("m"), 2)).alias("between"), F.sum(v * (1 - F.col("n") / F.col("of"))).alias("noise"), F.sum(F.col("n") * (1 - F.col("n") / F.col("of"))).alias("room"), (F.sum(F.col("n") * v) / F.sum("n")).alias("within")).first()
+        excess = (found.between - found.noise) / found.room if found.room else 0.0
+        return float(min(max(found.within / excess - 1 if excess > 0 else 1e6, 5.0), 1e6))
+
+    inside = paths.join(broadcast_if_small(hosts.select(F.col("host_").alias("h"), F.col("n").alias("of"), (F.col("total") / F.col("n")).alias("m")), BROADCAST_ROWS), F.col("host_").eqNullSafe(F.col("h")))
+    for_host, for_path = prior(hosts.withColumns({"of": F.lit(all_n), "m": F.lit(rate)})), prior(inside)
     host_rates = hosts.select(F.col("host_").alias("h"), ((F.col("total") + for_host * rate) / (F.col("n") + for_host)).alias("host_rate"))
     joined = paths.join(broadcast_if_small(host_rates, BROADCAST_ROWS), F.col("host_").eqNullSafe(F.col("h")))
     return joined.select("host_", "path_", ((F.col("total") + for_path * F.col("host_rate")) / (F.col("n") + for_path)).alias("rate")), rate
 
 
+def free_name(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", site_weight: float = 0.5, least: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` with evidence_, posterior_ (of good quality) and keep_."""
+    """All columns of ``docs`` with evidence_, posterior_ (of good quality) and keep_, which replace columns of these names."""
+    docs = docs.drop("evidence_", "posterior_", "keep_")
     model = fit(docs, labels)
     if model is None:
         return docs.select("*", F.lit(0.0).alias("evidence_"), F.lit(1.0).alias("posterior_"), F.lit(True).alias("keep_"))
     scored = score(docs, model)
-    rates, rate = site_rates(score(docs.select("text", F.col(host).alias(host), F.col(path).alias(path)), model), host, path)
+    rates, rate = site_rates(score(docs.select("text", F.col(host).alias("of_host"), F.col(path).alias("of_path")), model), "of_host", "of_path")
+    names = [free_name(scored.columns, c) for c in ("host_", "path_", "rate_")]
+    rates = rates.toDF(*names)
     odds = lambda r: F.log(r / (1 - r))
-    inside = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("rate")))
-    joined = scored.join(broadcast_if_small(rates, BROADCAST_ROWS), F.col(host).eqNullSafe(F.col("host_")) & F.col(path).eqNullSafe(F.col("path_")), "left")
+    inside = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col(names[2])))
+    joined = scored.join(broadcast_if_small(rates, BROADCAST_ROWS), F.col(host).eqNullSafe(F.col(names[0])) & F.col(path).eqNullSafe(F.col(names[1])), "left")
     posterior = F.col("evidence_") + site_weight * (odds(inside) - odds(F.lit(min(max(rate, 1e-6), 1 - 1e-6))))
-    return joined.withColumn("posterior_", 1 / (1 + F.exp(-posterior))).withColumn("keep_", F.col("posterior_") >= least).drop("host_", "path_", "rate")
+    return joined.withColumn("posterior_", 1 / (1 + F.exp(-posterior))).withColumn("keep_", F.col("posterior_") >= least).drop(*names)
