@@ -80,7 +80,8 @@ def pages(rows: DataFrame, limit: int) -> DataFrame:
     large = F.concat(F.lit("r"), F.row_number().over(order).cast("string"))
     half = max(limit // 2, 1)
     page = F.when(F.col("n_bytes") > half, large).otherwise(F.floor(before / half).cast("string"))
-    named = rows.withColumn("shard", F.concat_ws(".", "shard", F.col("task").cast("string"), page))
+    # staged: a task's number is not the same in two plans
+    named = staged(rows.withColumn("shard", F.concat_ws(".", "shard", F.col("task").cast("string"), page)), "pages")
     return named.drop("shard_bytes").join(named.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes")), "shard")
 
 
