@@ -277,6 +277,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans by the first one's."""
+    columns = docs.columns
+    docs = docs.toDF(*[f"kept_{k}" if c.lower() in ("base_", "spans_", "wide_") else c for k, c in enumerate(columns)])
     text = F.col(text_col)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform("spans_", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -288,4 +290,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], parts)).otherwise(state["out"]).alias("out"))
 
     done = F.aggregate(ordered, first, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    return with_spans(docs, text_col).withColumn(text_col, F.when(F.size("spans_") > 0, done).otherwise(text)).drop("base_", "spans_")
+    return with_spans(docs, text_col).withColumn(text_col, F.when(F.size("spans_") > 0, done).otherwise(text)).drop("base_", "spans_").toDF(*columns)
