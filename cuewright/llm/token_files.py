@@ -128,6 +128,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return segments.join(F.broadcast(starts), "part").select(F.col("before").alias("start"), "first", "n_ids", "doc_ids", "ends", "levels")
 
 
+def token_at(segments: DataFrame, doc_id: int | None, i: int) -> int:
+    """The i-th id of a document (of repeated rows, of the first), by one look at each level of the one segment that is fetched."""
+    own = segments.filter(F.exists("doc_ids", lambda d: d.eqNullSafe(F.lit(doc_id).cast("long")))).orderBy("start", "first").limit(1).collect()
+    if not own:
+        raise KeyError(f"no document {doc_id}")
+    k = own[0].doc_ids.index(doc_id)
+    begin = own[0].ends[k - 1] if k else 0
+    if not 0 <= i < own[0].ends[k] - begin:
+        raise IndexError(i)
+    return dac_at(own[0].levels, begin + i)
+
+
 def token_spans(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the stored codes."""
 
