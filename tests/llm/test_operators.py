@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cuewright.llm import decontamination, ngram_join, packing, passages, pii, quality, queries, sharding, telephony, token_counts, token_files
+from cuewright.llm.common import shared_dir
 from cuewright.llm.components import components
 from cuewright.llm.word_encoder import WordEncoder
 
@@ -39,14 +41,21 @@ OPERATORS = {
     "op2": lambda d: token_counts.token_counts(d, P.path("byte_bpe_50k.json"), P.PATTERN),
     "op3": lambda d: quality.judged(d, d.sparkSession.createDataFrame([(3, 1, 0), (4, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int")),
     "op4": lambda d: sharding.assign(d, 1000),
-    "op5": lambda d: telephony.media_features(telephony.to_media(d)),
+    "op5": lambda d: telephony.stored_features(d),
     "op6": ngram_join.ngram_components,
     "op7": passages.dedup_passages,
+    "op8": lambda d: written_and_read(d),
     "op9": pii.personal_data,
     "op10": lambda d: decontamination.matches(d, d.sparkSession.createDataFrame([(1, "word word word word word word"), (2, None), (None, "a b c d e f"), (3, "")], "item_id long, text string")),
 }
 
 
+def written_and_read(docs):
+    path = f"{shared_dir(docs.sparkSession)}/edges-{uuid.uuid4().hex}"
+    token_files.write_token_files(docs, path, P.path("word_bpe_49k.json"))
+    return token_files.token_spans(token_files.read_token_files(docs.sparkSession, path))
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_edges(spark, name):
     rows = edge_rows()
@@ -96,6 +105,17 @@ def test_packing(spark, documents):
     assert len(bins) <= 1.02 * -(-sum(map(len, ids.values())) // 2048) + 1
 
 
+def test_no_merge_group_grows(spark):
+    """Bins over half full never merge; no group may gather them."""
+    from pyspark.sql import functions as F
+
+    n, most = 98_000, 1000
+    bins = spark.range(n).select(F.col("id").alias("bin"), (F.col("id") % 900 + 1100).alias("fill"))
+    groups = packing.group_count(n, most)
+    assert max(r["count"] for r in bins.groupBy(packing.group_of(groups, 1).alias("g")).count().collect()) <= most
+    assert all(r.bin == r.target for r in packing.merge_rounds(bins, 2048, 8, most).collect())
+
+
 def test_merge_rounds_keep_bins_whole(spark):
     rng = np.random.default_rng(0)
     fills = rng.integers(1, 900, 3000).tolist()
@@ -119,6 +139,10 @@ def test_token_files(spark, documents, tmp_path):
     segments = token_files.read_token_files(spark, str(tmp_path / "t"))
     found = sorted(token_files.token_spans(segments).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    own = [*library.encode(documents[9][1], add_special_tokens=False).ids, 1]
+    assert [token_files.token_at(segments, documents[9][0], k) for k in (0, len(own) // 2, len(own) - 1)] == [own[0], own[len(own) // 2], 1]
+    with pytest.raises(KeyError):
+        token_files.token_at(segments, 987_654, 0)
     start = 0
     order = sorted([*documents, (None, ""), (7, documents[7][1])], key=lambda d: (-1 if d[0] is None else d[0]))
     for r, (i, t) in zip(found, order, strict=True):
@@ -144,9 +168,20 @@ def test_media(spark, documents):
         raw = texts[r.doc_id].encode()
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        tag = (telephony.MULAW, telephony.ALAW, telephony.ADPCM)[zlib.crc32(payload) % 3]
+        media = telephony.wav(tag, payload)
+        pcm = telephony.resample(telephony.decode_all([media])[0][1], 8000, 16_000)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.split(";")[1:4] == ["16000Hz", str(len(pcm)), f"peak={max(map(abs, pcm.tolist()))}"] and r.feature.endswith(f"pcm={zlib.crc32(pcm.tobytes()):08x}")
     assert {r.feature.split(";")[0] for r in found} == {"mulaw", "alaw", "adpcm"}
 
 
+def test_media_of_nulls_and_clashing_names(spark):
+    media = spark.createDataFrame([(1, 2, telephony.wav(telephony.ALAW, b"\1" * 64), b"x"), (2, 0, None, None)], "doc_id long, n_bytes long, media binary, pcm binary")
+    found = {r.doc_id: r for r in telephony.pcm_features(telephony.to_pcm(telephony.with_digests(media))).collect()}
+    assert found[2].feature is None and found[2].payload_bytes is None and found[1].payload_bytes == 64
+
+
 def test_companding_tables():
     assert telephony.MULAW_TABLE[[0, 0x7F, 0x80, 0xFF]].tolist() == [-32124, 0, 32124, 0]
     assert telephony.ALAW_TABLE[[0xD5, 0x55, 0xAA, 0x2A]].tolist() == [8, -8, 32256, -32256]
@@ -167,7 +202,7 @@ def test_adpcm_matches_sample_by_sample():
                 index = max(0, min(88, index + int(telephony.STEP_MOVES[code])))
                 want.append(value)
     assert rate == 8000 and pcm.tolist() == want and plain.tolist() == [1, 2]
-    assert telephony.resample(pcm, 8000, 16000).tolist() == telephony.double(pcm).tolist()
+    assert telephony.resample(pcm, 8000, 16000)[::2].tolist() == pcm.tolist() and telephony.resample(pcm, 8000, 4000).tolist() == pcm[::2].tolist()[: len(pcm) // 2]
 
 
 def test_to_pcm(spark):
@@ -281,6 +316,23 @@ def test_sites_shrink_towards_their_parents(spark):
     assert found["bad"] < found["tiny"] < rate < found["big"]
 
 
+def test_paths_shrink_by_the_spread_within_their_hosts(spark):
+    """Hosts differ, their paths do not: a small path keeps to its host."""
+    rows = [(f"h{h}", f"p{p}", 3.0 if h % 2 else -3.0) for h in range(20) for p in range(5) for _ in range(20)] + [("h1", "tiny", -3.0)]
+    rates, _ = quality.site_rates(spark.createDataFrame(rows, "host string, path string, evidence_ double"), "host", "path")
+    found = {(r.host_, r.path_): r.rate for r in rates.collect()}
+    assert found["h1", "tiny"] > 0.85 and found["h0", "p0"] < 0.1
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, [(3, "one two three"), (4, "mail a@b.cd")]).selectExpr("*", "1 AS rate", "2 AS host_", "3 AS path_", "4 AS evidence_", "5 AS base_", "6 AS spans_")
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, quality int")
+    judged = quality.judged(docs, labels)
+    assert {"rate", "host_", "path_", "evidence_", "keep_"} <= set(judged.columns) and {r.rate for r in judged.collect()} == {1}
+    redacted = pii.redacted(docs)
+    assert redacted.columns == docs.columns and {(r.base_, r.spans_) for r in redacted.collect()} == {(5, 6)}
+
+
 def test_sharding_splits_only_what_is_too_large(spark, documents):
     limit = 20_000
     found = sharding.assign(frame(spark, documents), limit).collect()
