@@ -168,33 +168,38 @@ class State:
 
     def act(self, operations: list[dict], now: dt.datetime | None = None) -> list[dict]:
         """Status changes with their audit rows, published together."""
-        out = []
         try:
-            for o in operations:
-                action, reason, at = o["action"], o.get("reason"), o.get("created_at") or now_iso(now)
-                if action in ("set_item_status", "mark_item_not_useful"):
-                    status, ids = ("ignored" if action == "mark_item_not_useful" else o["status"]), o.get("item_ids") or ([o["item_id"]] if o.get("item_id") else [])
-                    if status not in S.ITEM_STATUSES or not ids:
-                        raise ValueError("a known status and at least one item id are needed")
-                    n = self.set_where("review_items", {"status": status}, F.col("id").isin(ids))
-                    out.append({"action": action, "rows_affected": n, "user_action_ids": self.audit("review_item", ids, f"set_status:{status}", reason, at)})
-                elif action == "set_category_status":
-                    language, category, status = o["language"], o["review_category"], o["status"]
-                    if status not in S.CATEGORY_STATUSES:
-                        raise ValueError(f"unknown status {status}")
-                    n = self.set_where("review_items", {"status": status}, (F.col("language") == language) & (F.col("review_category") == category) & (F.col("status") != "deleted"))
-                    out.append({"action": action, "rows_affected": n, "user_action_ids": self.audit("review_category", [f"{language}:{category}"], f"set_status:{status}", reason, at)})
-                elif action == "archive_source":
-                    own = F.col("source_id") == o["source_id"]
-                    n = [self.set_where("sources", {"status": "archived"}, F.col("id") == o["source_id"]), self.set_where("segments", {"status": "archived"}, own & (F.col("status") != "deleted")), self.set_where("review_items", {"status": "ignored"}, own & F.col("status").isin("active", "paused"))]
-                    out.append({"action": action, **dict(zip(("source_rows_affected", "segment_rows_affected", "review_rows_affected"), n, strict=True)), "user_action_ids": self.audit("source", [o["source_id"]], "archive", reason, at)})
-                else:
-                    raise ValueError(f"unknown action {action}")
+            out = self.change(operations, now)
             self.publish()
         finally:
             self.changed = {}
         return out
 
+    def change(self, operations: list[dict], now: dt.datetime | None = None) -> list[dict]:
+        """Status changes with their audit rows, not yet published."""
+        out = []
+        for o in operations:
+            action, reason, at = o["action"], o.get("reason"), o.get("created_at") or now_iso(now)
+            if action in ("set_item_status", "mark_item_not_useful"):
+                status, ids = ("ignored" if action == "mark_item_not_useful" else o["status"]), o.get("item_ids") or ([o["item_id"]] if o.get("item_id") else [])
+                if status not in S.ITEM_STATUSES or not ids:
+                    raise ValueError("a known status and at least one item id are needed")
+                n = self.set_where("review_items", {"status": status}, F.col("id").isin(ids))
+                out.append({"action": action, "rows_affected": n, "user_action_ids": self.audit("review_item", ids, f"set_status:{status}", reason, at)})
+            elif action == "set_category_status":
+                language, category, status = o["language"], o["review_category"], o["status"]
+                if status not in S.CATEGORY_STATUSES:
+                    raise ValueError(f"unknown status {status}")
+                n = self.set_where("review_items", {"status": status}, (F.col("language") == language) & (F.col("review_category") == category) & (F.col("status") != "deleted"))
+                out.append({"action": action, "rows_affected": n, "user_action_ids": self.audit("review_category", [f"{language}:{category}"], f"set_status:{status}", reason, at)})
+            elif action == "archive_source":
+                own = F.col("source_id") == o["source_id"]
+                n = [self.set_where("sources", {"status": "archived"}, F.col("id") == o["source_id"]), self.set_where("segments", {"status": "archived"}, own & (F.col("status") != "deleted")), self.set_where("review_items", {"status": "ignored"}, own & F.col("status").isin("active", "paused"))]
+                out.append({"action": action, **dict(zip(("source_rows_affected", "segment_rows_affected", "review_rows_affected"), n, strict=True)), "user_action_ids": self.audit("source", [o["source_id"]], "archive", reason, at)})
+            else:
+                raise ValueError(f"unknown action {action}")
+        return out
+
     # review pass
 
     def review(self, payload: dict, now: dt.datetime | None = None) -> dict:

@@ -28,12 +28,18 @@ TRACK_PROFILES = {
 
 
 def normalized(spark: SparkSession, raw: list[Path], ready: list[Path]) -> DataFrame:
-    """Payload columns and ``path`` of raw subtitle files and of normalised ones."""
+    """Payload columns of raw subtitle files and of normalised ones.  Of payloads with one source_id the last counts, normalised ones after raw ones."""
     files = subtitles.described(subtitles.read_files(spark, raw))
-    done = files.select("source_id", "path", "file_name", "stem", "source_label").join(folds.transcripts(files.select("source_id", "format", "raw_text")), "source_id")
+    done = files.select("file_ord", "source_id", "path", "file_name", "stem", "source_label").join(folds.transcripts(files.select("source_id", "format", "raw_text")), "source_id")
     source = F.struct(F.col("path").alias("input_path"), "file_name", "stem", "source_id", "source_label", F.col("stats.format").alias("subtitle_format"))
-    made = done.select(F.lit(S.SCHEMA_VERSION).alias("schema_version"), F.lit(S.NORMALIZED_KIND).alias("kind"), source.alias("source"), F.lit(T.CLEANING_SUMMARY).alias("cleaning_summary"), F.col("utterances").alias("cleaned_utterances"), F.col("paragraphs").alias("paragraph_records"), F.transform("paragraphs", lambda p: p["text"]).alias("paragraphs"), "stats")
-    return made.unionByName(subtitles.read_normalized(spark, ready)) if ready else made
+    made = done.select("file_ord", F.lit(S.SCHEMA_VERSION).alias("schema_version"), F.lit(S.NORMALIZED_KIND).alias("kind"), source.alias("source"), F.lit(T.CLEANING_SUMMARY).alias("cleaning_summary"), F.col("utterances").alias("cleaned_utterances"), F.col("paragraphs").alias("paragraph_records"), F.transform("paragraphs", lambda p: p["text"]).alias("paragraphs"), "stats")
+    if not ready:
+        return made.drop("file_ord")
+    order = spark.createDataFrame([(len(raw) + k, str(p)) for k, p in enumerate(ready)], "file_ord int, from_ string")
+    local = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(?://)?", "")
+    every = made.unionByName(subtitles.read_normalized(spark, ready).withColumn("from_", local).join(order, "from_").drop("from_")).withColumn("id_", F.col("source.source_id"))
+    last = every.groupBy("id_").agg(F.max("file_ord").alias("file_ord"))
+    return every.join(last, ["id_", "file_ord"], "left_semi").drop("id_", "file_ord")
 
 
 def lesson_markdown(title: Column, track: Column) -> Column:

@@ -162,9 +162,33 @@ def q_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("source_id", "raw", "deduped", "merged", F.posexplode("utterances").alias("utterance_index", "u")).select("source_id", "utterance_index", "u.*", "raw", "deduped", "merged")
 
 
-def q_live_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = folds.segments(listed_paragraphs(spark, sf_dir), F.lit("live_chat"))
-    return cut.select("source_id", "segmentIndex", "sceneSummary", "contextBefore", "contextAfter")
+def contexts_of(track: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: folds.segments(listed_paragraphs(spark, sf_dir), F.lit(track)).select("source_id", "segmentIndex", "sceneSummary", "contextBefore", "contextAfter")
+
+
+LIVE_SPLIT = "a.words >= 460 OR (a.words >= 340 AND (a.n >= 4 OR x.s - a.e >= 40)) OR (a.words >= 260 AND x.s - a.e >= 90)"
+ARTICLE_SPLIT = "a.words >= 560 OR (a.words >= 340 AND a.n >= 3) OR (a.words >= 260 AND a.n >= 2 AND x.s - a.e >= 20)"
+
+
+def contexts_sql(split: str, track: str) -> str:
+    """Summaries by rule or first sentence, and those of the neighbours."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    clipped = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(substr({x}, 1, {n - 1})) || '...' END"
+    found = rf"regexp_extract(text, '[^\n]*?[.!?](?:{SQL_SPACE}|\z)', 0)"
+    bare = rf"regexp_replace(f, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+    if track == "article_reading":
+        summary = f"'Argument unit ' || no || ': ' || {clipped('g', 150)}"
+        inner = f"SELECT *, {compact_sql(f'CASE WHEN f <> {quoted(str())} THEN {bare} ELSE text END')} AS g FROM (SELECT *, {found} AS f FROM seg)"
+    else:
+        rules = " ".join(f"WHEN {' AND '.join([*(f'contains(lower(text), {quoted(w)})' for w in every), '(' + ' OR '.join(f'contains(lower(text), {quoted(w)})' for w in some) + ')'])} THEN {quoted(by)}" for every, some, by in T.LIVE_CHAT_RULES)
+        summary = f"CASE {rules} ELSE 'Live-chat segment ' || no || ': ' || CASE WHEN f <> '' THEN {bare} ELSE {clipped('g', 120)} END END"
+        inner = f"SELECT *, {found} AS f, {compact_sql('text')} AS g FROM seg"
+    first, last = (quoted(x) for x in folds.EDGES[track])
+    return f"""
+        WITH seg AS (SELECT *, CASE WHEN "segmentIndex" < 10 THEN '0' ELSE '' END || CAST("segmentIndex" AS VARCHAR) AS no FROM ({segments_sql(split)})),
+        told AS (SELECT source_id, "segmentIndex", {summary} AS "sceneSummary" FROM ({inner}))
+        SELECT *, coalesce(lag("sceneSummary") OVER w, {first}) AS "contextBefore", coalesce(lead("sceneSummary") OVER w, {last}) AS "contextAfter" FROM told WINDOW w AS (PARTITION BY source_id ORDER BY "segmentIndex")
+    """
 
 
 def q_schedule_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,30 +215,64 @@ def q_schedule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", *[(F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("interval_days", "stability", "priority_score")], "status")
 
 
+SCHEDULE_FOLD_SQL = f"""
+    WITH RECURSIVE review AS (SELECT CAST(event_id // 4 AS VARCHAR) AS id, event_id % 5 AS r, row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id) AS k FROM events),
+    f AS (
+        SELECT id, 0::BIGINT AS k, interval_days AS i, stability AS s, priority_score AS p, status FROM ({ITEM_SQL})
+        UNION ALL
+        SELECT id, k, CASE WHEN r = 4 THEN greatest(7.0::DOUBLE, least(180.0::DOUBLE, greatest(i, 7.0::DOUBLE))) ELSE greatest(0.25::DOUBLE, least(180.0::DOUBLE, raw)) END, ns,
+            CASE WHEN r = 4 THEN greatest(0.0::DOUBLE, least(p, 0.2::DOUBLE)) ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, p + CASE r WHEN 0 THEN 0.18::DOUBLE WHEN 1 THEN 0.08::DOUBLE WHEN 2 THEN -0.05::DOUBLE ELSE -0.12::DOUBLE END + greatest(0.0::DOUBLE, 0.4::DOUBLE - ns) * 0.25::DOUBLE)) END,
+            CASE WHEN r = 4 THEN 'mastered' ELSE 'active' END
+        FROM (SELECT *, CASE r WHEN 0 THEN greatest(0.25::DOUBLE, i * 0.5::DOUBLE) WHEN 1 THEN greatest(1.0::DOUBLE, i * 1.35::DOUBLE) WHEN 2 THEN greatest(1.0::DOUBLE, i * 2.2::DOUBLE) ELSE greatest(2.0::DOUBLE, i * 3.6::DOUBLE) END AS raw,
+                  greatest(0.05::DOUBLE, least(1.0::DOUBLE, CASE r WHEN 0 THEN s - 0.16::DOUBLE WHEN 1 THEN s + 0.03::DOUBLE WHEN 2 THEN s + 0.12::DOUBLE WHEN 3 THEN s + 0.2::DOUBLE ELSE greatest(s, 0.92::DOUBLE) END)) AS ns
+              FROM (SELECT f.id, review.k, r, coalesce(i, 1.0::DOUBLE) AS i, coalesce(s, 0.3::DOUBLE) AS s, coalesce(p, 0.5::DOUBLE) AS p FROM f JOIN review ON review.id = f.id AND review.k = f.k + 1))
+    )
+    SELECT id, floor(arg_max(i, k) * 1e6 + 0.5) / 1e6 AS interval_days, floor(arg_max(s, k) * 1e6 + 0.5) / 1e6 AS stability, floor(arg_max(p, k) * 1e6 + 0.5) / 1e6 AS priority_score, arg_max(status, k) AS status
+    FROM f WHERE id IN (SELECT id FROM review) GROUP BY id
+"""
+
+
 def q_state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of even documents, upserted by every third document's."""
+    """Sources made from all customers, upserted by those made from all documents: ids of both are replaced, the others stay or are new."""
     from cuewright.plans.state import State
 
-    own = {"id": F.col("doc_id").cast("string"), "language": F.col("lang")}
-    row = lambda kind, test: documents(spark, sf_dir).filter(test).select(*[(own | {"title": F.lit(kind)}).get(c, F.lit(None).cast("string")).alias(c) for c in columns_of("sources")])
+    def rows(name: str, id_: str, language: F.Column) -> DataFrame:
+        own = {"id": F.col(id_).cast("string"), "language": language, "title": F.lit(name)}
+        return table(spark, sf_dir, name).select(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in columns_of("sources")])
+
     state = State(spark, "unpublished")
-    state.changed["sources"] = row("old", "doc_id % 2 = 0")
-    state.merge("sources", row("new", "doc_id % 3 = 0"))
+    state.changed["sources"] = rows("customer", "c_custkey", F.col("c_mktsegment"))
+    state.merge("sources", rows("documents", "doc_id", F.col("lang")))
     return state.read("sources").select("id", "language", "title")
 
 
 def q_replace_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live-chat segments of all documents, replaced by a second import on the other track; one segment of each customer stays."""
     from cuewright.plans.transcripts import replaced_segments
 
-    cut = folds.segments(listed_paragraphs(spark, sf_dir), F.lit("live_chat")).withColumn("segment_path", F.lit("p"))
-    none = spark.createDataFrame([], TABLES["segments"])
-    old = replaced_segments(none, cut, cut.select(F.col("source_id").alias("id")).distinct(), "old")
-    third = cut.filter(F.col("source_id").cast("long") % 3 == 0)
-    return replaced_segments(old, third, third.select(F.col("source_id").alias("id")).distinct(), "new").select("source_id", "segment_index", "created_at")
+    def cut(track: str) -> DataFrame:
+        return folds.segments(listed_paragraphs(spark, sf_dir), F.lit(track)).withColumn("segment_path", F.lit("p"))
+
+    def replaced(old: DataFrame, new: DataFrame, at: str) -> DataFrame:
+        return replaced_segments(old, new, documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id")), at)
+
+    own = {"source_id": F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "segment_index": F.lit(1), "created_at": F.lit("old")}
+    kept = table(spark, sf_dir, "customer").select(*[own.get(c, F.lit(None).cast("string")).alias(c) for c in columns_of("segments")])
+    return replaced(replaced(kept, cut("live_chat"), "old"), cut("article_reading"), "new").select("source_id", "segment_index", "created_at")
 
 
-def status_change(items: DataFrame, status: str, test: F.Column) -> DataFrame:
-    return items.select("id", F.when(F.coalesce(test, F.lit(False)), status).otherwise(F.col("status")).alias("status"))
+def q_status(operation: dict) -> Callable[[SparkSession, str], DataFrame]:
+    """All review items after a user action on the state tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from cuewright.plans.state import State
+
+        state = State(spark, "unpublished")
+        state.changed |= {"review_items": review_items(spark, sf_dir), "user_actions": spark.createDataFrame([], TABLES["user_actions"])}
+        state.change([operation])
+        return state.read("review_items").select("id", "status")
+
+    return run
 
 
 def flag(df: DataFrame, key: str, **columns) -> DataFrame:
@@ -254,6 +312,34 @@ OVERLAP_SQL = f"""
 CONTINUES = "|".join(T.CONTINUATIONS)
 
 
+def clean_sql() -> str:
+    """The cleaning fold, one cue a step: the state after each cue, of which each utterance's last one counts."""
+    overlap = lambda p, c: f"coalesce(list_max(list_filter(range(1, least(len({p}), len({c})) + 1), lambda k: {p}[len({p}) - k + 1 : len({p})] = {c}[1:k])), 0)"
+    more = lambda b, t, words, k: f"CASE WHEN {b} = '' THEN {t} WHEN suffix(lower({b}), lower({t})) THEN '' WHEN {k} = 0 THEN {t} ELSE array_to_string({words}[{k} + 1 : len({words})], ' ') END"
+    stop = lambda marks: f"regexp_matches(b, '[{marks}][\"'')\\]]*\\n?\\z')"
+    edge = r"(?:[^0-9A-Za-z_\x{80}-\x{10FFFF}]|\z)"
+    return f"""
+        WITH RECURSIVE cue AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn * 4.0::DOUBLE AS s, turn * 4.0::DOUBLE + 3.5::DOUBLE AS e, coalesce({compact_sql('text')}, '') AS t FROM conversations),
+        word AS (SELECT *, {words_sql('t')} AS o, {words_sql('lower(t)')} AS c FROM cue),
+        f AS (
+            SELECT source_id, k, 0 AS u, s, e, t, c AS w, 0 AS d, 0 AS m FROM word WHERE k = 1
+            UNION ALL
+            SELECT source_id, k, CASE WHEN how = 2 THEN u + 1 ELSE u END, CASE WHEN how = 2 THEN s2 ELSE s END, e2,
+                CASE WHEN how = 2 THEN n1 WHEN how = 1 AND n2 <> '' THEN {compact_sql("b || ' ' || n2")} ELSE b END,
+                CASE WHEN how = 2 THEN c1 WHEN how = 1 AND n2 <> '' THEN list_concat(w, c1[k2 + 1 : len(c1)]) ELSE w END,
+                d + CASE WHEN how = 0 THEN 1 ELSE 0 END, m + CASE WHEN how = 1 THEN 1 ELSE 0 END
+            FROM (SELECT *, {more('b', 'n1', 'o1', 'k2')} AS n2,
+                      CASE WHEN n1 = '' OR lower(b) = lower(t) THEN 0
+                           WHEN (k1 > 0 AND NOT {stop('.!?')}) OR (b <> '' AND NOT {stop('.!?')} AND ({stop(',;:')} OR regexp_matches(n1, '^[a-z]') OR regexp_matches(n1, '(?i)^(?:{CONTINUES}){edge}') OR (len(w) <= 4 AND regexp_matches(n1, '^[a-zA-Z]')))) THEN 1 ELSE 2 END AS how
+                  FROM (SELECT *, {overlap('w', 'c1')} AS k2 FROM (SELECT *, o[k1 + 1 : len(o)] AS o1, c[k1 + 1 : len(c)] AS c1, {more('b', 't', 'o', 'k1')} AS n1
+                        FROM (SELECT f.source_id, f.u, f.s, f.t AS b, f.w, f.d, f.m, n.k, n.s AS s2, n.e AS e2, n.t, n.o, n.c, {overlap('f.w', 'n.c')} AS k1 FROM f JOIN word n ON n.source_id = f.source_id AND n.k = f.k + 1))))
+        ),
+        ended AS (SELECT source_id, CAST(max(k) AS INTEGER) AS raw, arg_max(d, k) AS deduped, arg_max(m, k) AS merged FROM f GROUP BY 1)
+        SELECT source_id, u AS utterance_index, s AS "start", e AS "end", t AS text, raw, deduped, merged
+        FROM (SELECT source_id, u, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(t, k) AS t FROM f GROUP BY 1, 2) JOIN ended USING (source_id)
+    """
+
+
 def file_name() -> F.Column:
     """A subtitle file's name for each page, bracketed id or not."""
     return F.concat(F.lit("Talk "), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("[a-"), F.col("page_id").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("n"), F.col("page_id").cast("string"))), F.when(F.col("page_id") % 2 == 0, ".en-US.srt").otherwise(".de.vtt"))
@@ -282,7 +368,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "paragraphs": q_paragraphs,
         "segments_live": segments_of("live_chat"),
         "segments_article": segments_of("article_reading"),
-        "segment_context": q_live_summaries,
+        "segment_context": contexts_of("live_chat"),
+        "segment_context_article": contexts_of("article_reading"),
         "pressure": lambda s, d: pressed(s, d).select("id", "pressure_score", "overdue", "due_soon"),
         "agenda_counts": lambda s, d: agenda.counts(pressed(s, d)),
         "focus_groups": lambda s, d: agenda.focus_groups(pressed(s, d)),
@@ -295,7 +382,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "schedule_fold": q_schedule_fold,
         "top_signals": lambda s, d: profile.top_signals(signals(s, d), "output_fragility"),
         "top_chunks": lambda s, d: profile.top_chunks(items(s, d)).select("language", "rank", "content"),
-        "vocab_gaps": lambda s, d: profile.vocab_gaps(signals(s, d).filter("language = 'en'"), items(s, d)),
+        "vocab_gaps": lambda s, d: profile.vocab_gaps(signals(s, d), items(s, d)),
         "track_bias": lambda s, d: profile.track_bias(sessions(s, d)),
         "recent_priorities": lambda s, d: profile.recent_priorities(items(s, d)),
         "active_languages": lambda s, d: profile.active_languages(docs(s, d).select(F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, "active").otherwise("archived").alias("status")), sessions(s, d)),
@@ -303,8 +390,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ordered_union": lambda s, d: flag(docs(s, d), "doc_id", merged=F.array_join(profile.ordered_union(F.array(F.lit("live_chat"), "lang"), F.array("source", "lang", F.lit("live_chat")), 3), ",")),
         "upsert_sources": q_state_upsert,
         "replace_segments": q_replace_segments,
-        "item_status": lambda s, d: status_change(items(s, d), "ignored", F.col("id").isin("5", "17", "34")),
-        "category_status": lambda s, d: status_change(items(s, d), "paused", (F.col("language") == "en") & (F.col("review_category") == "click") & (F.col("status") != "deleted")),
+        "item_status": q_status({"action": "mark_item_not_useful", "item_ids": ["5", "17", "34"]}),
+        "category_status": q_status({"action": "set_category_status", "language": "en", "review_category": "click", "status": "paused"}),
     }
 
 
@@ -340,8 +427,12 @@ def oracle_sql() -> dict[str, str]:
         "timestamp_parse": "SELECT event_id, CAST((event_id % 120) * 3600 + (event_id % 60) * 60 + user_id % 60 AS DOUBLE) + CAST(event_id % 1000 AS DOUBLE) / 1000 AS seconds, lpad(CAST(event_id // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') AS clock FROM events",
         "srt_parse": f"SELECT source_id, CAST(k AS INTEGER) AS cue_index, s AS \"start\", s + 3.5::DOUBLE AS \"end\", t AS text FROM ({CUES_SQL})",
         "paragraphs": f"{PARAGRAPHS_SQL} SELECT * FROM paragraph",
-        "segments_live": segments_sql("a.words >= 460 OR (a.words >= 340 AND (a.n >= 4 OR x.s - a.e >= 40)) OR (a.words >= 260 AND x.s - a.e >= 90)"),
-        "segments_article": segments_sql("a.words >= 560 OR (a.words >= 340 AND a.n >= 3) OR (a.words >= 260 AND a.n >= 2 AND x.s - a.e >= 20)"),
+        "segments_live": segments_sql(LIVE_SPLIT),
+        "segments_article": segments_sql(ARTICLE_SPLIT),
+        "segment_context": contexts_sql(LIVE_SPLIT, "live_chat"),
+        "segment_context_article": contexts_sql(ARTICLE_SPLIT, "article_reading"),
+        "clean_fold": clean_sql(),
+        "schedule_fold": SCHEDULE_FOLD_SQL,
         "pressure": f"SELECT id, pressure_score, overdue, due_soon FROM ({PRESSED_SQL})",
         "agenda_counts": f"SELECT language, count_if(overdue) AS overdue_items, count_if(due_soon) AS due_soon_items FROM ({PRESSED_SQL}) GROUP BY 1",
         "focus_groups": ranked_sql(f"SELECT language, review_category, count(*) AS count, max(priority_score) AS max_priority, CAST(sum(CAST(pressure_score AS DECIMAL(20,4))) AS DOUBLE) AS pressure_score FROM ({PRESSED_SQL}) GROUP BY 1, 2", "pressure_score DESC, max_priority DESC, count DESC, review_category", 3, "*"),
@@ -353,14 +444,14 @@ def oracle_sql() -> dict[str, str]:
         "schedule_once": SCHEDULE_SQL,
         "top_signals": ranked_sql(grouped("output_fragility"), "total_strength DESC, hits DESC, signal", 5, "*"),
         "top_chunks": ranked_sql(contents("'chunk'", "'active', 'mastered'"), "priority DESC, seen DESC, id", 8, "language, rank, content"),
-        "vocab_gaps": f"{ranked_sql(grouped('vocab_gap') + ' HAVING language = ' + repr('en'), 'total_strength DESC, hits DESC, signal', 6, 'language, rank, signal AS gap')} UNION ALL {ranked_sql(contents(repr('vocab') + ', ' + repr('term'), repr('active')) + ' AND language = ' + repr('ja'), 'priority DESC, seen DESC, id', 6, 'language, rank, content AS gap')}",
+        "vocab_gaps": ranked_sql(grouped("vocab_gap"), "total_strength DESC, hits DESC, signal", 6, "language, rank, signal AS gap"),
         "track_bias": f"SELECT language, track, hits, rank FROM ({ranked_sql(f'SELECT language, track, count(*) AS hits FROM ({session}) GROUP BY 1, 2', 'hits DESC, track NULLS FIRST', 3, '*')}) WHERE track IS NOT NULL",
         "recent_priorities": ranked_sql(f"SELECT language, review_category, count(*) AS hits, max(coalesce(priority_score, 0.0)) AS max_priority FROM ({ITEM_SQL}) WHERE status = 'active' GROUP BY 1, 2", "max_priority DESC, hits DESC, review_category", 3, "*"),
         "active_languages": "SELECT lang AS language FROM documents WHERE doc_id % 2 = 0 UNION SELECT CASE WHEN user_id % 2 = 0 THEN 'en' ELSE 'ja' END FROM events",
         "outcome_counts": "SELECT CASE event_id % 5 WHEN 0 THEN 'again' WHEN 1 THEN 'hard' WHEN 2 THEN 'good' WHEN 3 THEN 'easy' ELSE 'mastered' END AS result, count(*) AS n FROM events GROUP BY 1",
         "ordered_union": "SELECT doc_id, 'live_chat,' || lang || ',' || source AS merged FROM documents",
-        "upsert_sources": "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS language, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS title FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-        "replace_segments": f"SELECT source_id, \"segmentIndex\" AS segment_index, CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN 'new' ELSE 'old' END AS created_at FROM ({segments_sql('a.words >= 460 OR (a.words >= 340 AND (a.n >= 4 OR x.s - a.e >= 40)) OR (a.words >= 260 AND x.s - a.e >= 90)')})",
+        "upsert_sources": "SELECT CAST(doc_id AS VARCHAR) AS id, lang AS language, 'documents' AS title FROM documents UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_mktsegment, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)",
+        "replace_segments": f"SELECT source_id, \"segmentIndex\" AS segment_index, 'new' AS created_at FROM ({segments_sql(ARTICLE_SPLIT)}) UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 1, 'old' FROM customer",
         "item_status": f"SELECT id, CASE WHEN id IN ('5', '17', '34') THEN 'ignored' ELSE status END AS status FROM ({ITEM_SQL})",
         "category_status": f"SELECT id, CASE WHEN language = 'en' AND review_category = 'click' THEN 'paused' ELSE status END AS status FROM ({ITEM_SQL})",
     }

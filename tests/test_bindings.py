@@ -29,3 +29,10 @@ def test_vocab_gaps_of_all_signals(spark):
     found = profile.vocab_gaps(signals, items).collect()
     own = {(r.language, r.signal) for r in signals.filter("event_type = 'vocab_gap'").collect()}
     assert {r.language for r in found} == {"en", "ja"} and all((r.language, r.gap) in own for r in found)
+
+
+def test_vocab_gaps_fall_back_to_words(spark):
+    events = spark.createDataFrame([("en", "vocab_gap", "articles", 1.0), ("ja", "other", "x", 1.0)], "language string, event_type string, signal string, strength double")
+    items = spark.createDataFrame([(lang, f"{lang}{k}", f"w{k}", kind, "active", 0.1 * k, "2024") for lang in ("en", "ja") for k, kind in enumerate(["vocab", "term", "chunk"])], "language string, id string, content string, item_type string, status string, priority_score double, last_seen_at string").selectExpr("*", "last_seen_at AS first_seen_at")
+    found = sorted((r.language, r["rank"], r.gap) for r in profile.vocab_gaps(events, items).collect())
+    assert found == [("en", 1, "articles"), ("ja", 1, "w1"), ("ja", 2, "w0")]

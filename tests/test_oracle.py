@@ -19,7 +19,7 @@ def test_query(spark, name):
     assert rows
     if name in queries.oracle_sql():
         con = duckdb.connect()
-        for t in ("documents", "pages", "events", "conversations"):
+        for t in ("documents", "pages", "events", "conversations", "customer"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         cursor = con.execute(queries.oracle_sql()[name])
         names = [d[0] for d in cursor.description]

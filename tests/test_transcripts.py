@@ -61,3 +61,20 @@ def test_import_and_state(spark, tmp_path):
     out = state.act([{"action": "archive_source", "source_id": "abc-1"}, {"action": "set_item_status", "item_ids": ["i1", "zz"], "status": "paused"}], now)
     assert [out[0]["source_rows_affected"], out[0]["review_rows_affected"], out[1]["rows_affected"], len(out[1]["user_action_ids"])] == [1, 1, 1, 2]
     assert state.read("user_actions").count() == 3 and state.read("sources").filter(F.col("status") == "archived").count() == 1
+
+
+def test_ingest_of_a_folder_with_both_forms(spark, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "root"
+    folder.mkdir()
+    (folder / "Talk [x1].en.srt").write_text(SRT)
+    (folder / "Other one.srt").write_text(SRT.replace("Kenobi", "Grievous"))
+    transcripts.init_root(spark, root)
+    raw = subtitles.collect([folder])
+    transcripts.normalize(spark, raw)
+    ready = subtitles.collect([folder], normalized=True)
+    assert len(raw) == len(ready) == 2
+    done = transcripts.ingest(spark, root, raw, ready)
+    assert sorted(d["source_id"] for d in done) == ["Other one", "x1"] and {d["segment_count"] for d in done} == {1}
+    state = State(spark, root)
+    assert sorted(r.id for r in state.read("sources").collect()) == ["Other one", "x1"]
+    assert (root / "languages/en/segments/x1--seg-01.md").read_text().count("Kenobi") == 1
