@@ -63,10 +63,28 @@ class State:
         if table in self.changed:
             return self.changed[table]
         self.version()
-        return self.spark.read.schema(S.TABLES[table]).parquet(str(self.root / f"v={self.current()['tables'][table]}" / table))
+        return self.published(table)
+
+    def published(self, table: str) -> DataFrame | None:
+        """The table as the last batch left it; None where it has not been written."""
+        n = (self.current() or {"tables": {}})["tables"].get(table)
+        return None if n is None else self.spark.read.schema(S.TABLES[table]).parquet(str(self.root / f"v={n}" / table))
+
+    def check_references(self) -> None:
+        """A changed row that names a source, segment or session that is not there is an error; what a batch leaves alone is not looked at."""
+        for table, references in S.REFERENCES.items():
+            for column, parent in references.items() if table in self.changed else ():
+                named = self.changed[table].select("id", column).filter(F.col(column).isNotNull())
+                old = self.published(table)
+                if old is not None:
+                    named = named.join(old.select("id", column), ["id", column], "left_anti")
+                lost = named.join(self.read(parent).select(F.col("id").alias(column)), column, "left_anti").first()
+                if lost is not None:
+                    raise ValueError(f"{table} row {lost.id}: {parent} has no row {lost[column]}")
 
     def publish(self) -> None:
-        """Write the changed tables under the next number, then make it the current one."""
+        """Check the changed tables, write them under the next number, then make it the current one."""
+        self.check_references()
         known = self.current() or {"version": 0, "tables": {}}
         n = known["version"] + 1
         for table, rows in self.changed.items():

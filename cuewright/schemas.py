@@ -21,6 +21,13 @@ TABLES = {
     "profile_events": "id string, language string, session_id string, event_type string, signal string, evidence string, strength double, created_at string",
     "user_actions": "id string, target_type string, target_id string, action_type string, reason string, created_at string",
 }
+# Which table a column's ids are of.
+REFERENCES = {
+    "segments": {"source_id": "sources"},
+    "sessions": {"source_id": "sources", "segment_id": "segments"},
+    "review_items": {"source_id": "sources", "segment_id": "segments"},
+    "profile_events": {"session_id": "sessions"},
+}
 KEYS = {name: "key" if name == "schema_meta" else "id" for name in TABLES}
 TRACKS = ["live_chat", "article_reading"]
 ITEM_STATUSES = CATEGORY_STATUSES = ["active", "paused", "ignored", "deleted", "mastered"]
