@@ -157,26 +157,31 @@ class State:
 
     def apply(self, operations: list[dict]) -> list[dict]:
         """Generic writes {table, op, data, key_fields, where} in order, published together."""
-        out = []
         try:
-            for o in operations:
-                table, op = o["table"], o["op"]
-                if table not in S.TABLES:
-                    raise ValueError(f"unknown table {table}")
-                if op == "insert":
-                    out.append({"table": table, "op": op, "id": self.insert(table, o["data"])})
-                elif op == "upsert":
-                    self.upsert(table, [o["data"]], o["key_fields"])
-                    out.append({"table": table, "op": op, "id": o["data"].get("id")})
-                elif op == "update":
-                    out.append({"table": table, "op": op, "rows_affected": self.update(table, o["data"], o["where"])})
-                else:
-                    raise ValueError(f"unknown operation {op}")
+            out = self.write(operations)
             self.publish()
         finally:
             self.changed = {}
         return out
 
+    def write(self, operations: list[dict]) -> list[dict]:
+        """Generic writes, not yet published."""
+        out = []
+        for o in operations:
+            table, op = o["table"], o["op"]
+            if table not in S.TABLES:
+                raise ValueError(f"unknown table {table}")
+            if op == "insert":
+                out.append({"table": table, "op": op, "id": self.insert(table, o["data"])})
+            elif op == "upsert":
+                self.upsert(table, [o["data"]], o["key_fields"])
+                out.append({"table": table, "op": op, "id": o["data"].get("id")})
+            elif op == "update":
+                out.append({"table": table, "op": op, "rows_affected": self.update(table, o["data"], o["where"])})
+            else:
+                raise ValueError(f"unknown operation {op}")
+        return out
+
     # user actions
 
     def audit(self, kind: str, targets: list[str], action: str, reason: str | None, at: str) -> list[str]:

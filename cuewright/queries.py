@@ -312,14 +312,14 @@ OVERLAP_SQL = f"""
 CONTINUES = "|".join(T.CONTINUATIONS)
 
 
-def clean_sql() -> str:
+def clean_sql(conversations: str = "conversations") -> str:
     """The cleaning fold, one cue a step: the state after each cue, of which each utterance's last one counts."""
     overlap = lambda p, c: f"coalesce(list_max(list_filter(range(1, least(len({p}), len({c})) + 1), lambda k: {p}[len({p}) - k + 1 : len({p})] = {c}[1:k])), 0)"
     more = lambda b, t, words, k: f"CASE WHEN {b} = '' THEN {t} WHEN suffix(lower({b}), lower({t})) THEN '' WHEN {k} = 0 THEN {t} ELSE array_to_string({words}[{k} + 1 : len({words})], ' ') END"
     stop = lambda marks: f"regexp_matches(b, '[{marks}][\"'')\\]]*\\n?\\z')"
     edge = r"(?:[^0-9A-Za-z_\x{80}-\x{10FFFF}]|\z)"
     return f"""
-        WITH RECURSIVE cue AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn * 4.0::DOUBLE AS s, turn * 4.0::DOUBLE + 3.5::DOUBLE AS e, coalesce({compact_sql('text')}, '') AS t FROM conversations),
+        WITH RECURSIVE cue AS (SELECT CAST(conv_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn * 4.0::DOUBLE AS s, turn * 4.0::DOUBLE + 3.5::DOUBLE AS e, coalesce({compact_sql('text')}, '') AS t FROM {conversations}),
         word AS (SELECT *, {words_sql('t')} AS o, {words_sql('lower(t)')} AS c FROM cue),
         f AS (
             SELECT source_id, k, 0 AS u, s, e, t, c AS w, 0 AS d, 0 AS m FROM word WHERE k = 1

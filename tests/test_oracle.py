@@ -3,25 +3,26 @@
 import duckdb
 import pytest
 
-from cuewright import queries
+from cuewright import format_queries, queries
 
 DATA = "/root/testdata/sf0.001"
+OWN, SQL = queries.queries() | format_queries.queries(), queries.oracle_sql() | format_queries.oracle_sql()
 
 
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", queries.queries())
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, name):
-    found = queries.queries()[name](spark, DATA)
+    found = OWN[name](spark, DATA)
     rows = sorted((tuple(plain(r[c]) for c in sorted(found.columns)) for r in found.collect()), key=repr)
     assert rows
-    if name in queries.oracle_sql():
+    if name in SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "events", "conversations", "customer"):
+        for t in ("documents", "pages", "events", "conversations", "customer", "orders"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-        cursor = con.execute(queries.oracle_sql()[name])
+        cursor = con.execute(SQL[name])
         names = [d[0] for d in cursor.description]
         assert sorted(names) == sorted(found.columns)
         at = [names.index(c) for c in sorted(names)]
