@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files
+from . import decontamination, middle, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files
 from .common import documents_of, shared_dir
 
 SHARD_BYTES = 1 << 20
@@ -58,10 +58,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.matches(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.transform(documents_of(spark, sf_dir))
+    told = cut.withColumn("digests", middle.digests(cut["output"], cut["form"]))
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "digests.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination]
+    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination, op11_middle]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.shard_sql(SHARD_BYTES)}
+    return {"op4_sharding": sharding.shard_sql(SHARD_BYTES), "op11_middle": middle.MIDDLE_SQL}
