@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, middle, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files
+from . import decontamination, middle, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files, windows
 from .common import documents_of, shared_dir
 
 SHARD_BYTES = 1 << 20
@@ -64,8 +65,13 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "digests.*")
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = windows.pack(documents_of(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination, op11_middle]
+    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination, op11_middle, op12_window_packing]
     return {f.__name__: f for f in own}
 
 
