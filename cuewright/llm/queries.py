@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, middle, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files, windows
+from . import decontamination, filter_audit, middle, ngram_join, packing, pii, quality, repeats, sharding, telephony, token_counts, token_files, windows
 from .common import documents_of, shared_dir
 
 SHARD_BYTES = 1 << 20
@@ -70,10 +70,14 @@ def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination, op11_middle, op12_window_packing]
+    own = [op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_sharding, op5_media_columns, op6_ngram_jaccard_join, op7_substring_dedup, op8_token_files, op9_pii, op10_benchmark_decontamination, op11_middle, op12_window_packing, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.shard_sql(SHARD_BYTES), "op11_middle": middle.MIDDLE_SQL}
+    return {"op4_sharding": sharding.shard_sql(SHARD_BYTES), "op11_middle": middle.MIDDLE_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
