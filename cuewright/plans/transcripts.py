@@ -15,6 +15,7 @@ from cuewright import schemas as S
 from cuewright.functions import text as T
 from cuewright.operators import folds
 from cuewright.plans.state import State, fresh_id, now_iso, read_json, write_json
+from cuewright.plans.writes import Change
 from cuewright.sources import subtitles
 
 COACH = ".coach"
@@ -110,12 +111,13 @@ def init_root(spark: SparkSession, root: str | Path, language: str = "en", overw
     State(spark, root).create()
 
 
-def migrate_root(spark: SparkSession, root: str | Path, now: dt.datetime | None = None) -> int:
+def migrate_root(spark: SparkSession, root: str | Path, now: dt.datetime | None = None, strict: bool = False) -> int:
     """Missing state tables are made and the schema version stamped; rows stay.  A root without state is an error."""
     root = Path(root)
     state = State(spark, root)
-    state.version()
-    state.create()
+    if not state.unlogged():
+        state.version()
+    state.create(strict)
     for path in (root / COACH / "config.json", root / COACH / "profile.json"):
         if path.exists():
             write_json(path, {**read_json(path), "schema_version": S.SCHEMA_VERSION, "updated_at": now_iso(now)})
@@ -163,19 +165,27 @@ def ingest(spark: SparkSession, root: str | Path, raw: list[Path], ready: list[P
         own["segment_count"] += 1
         own["first_segment"] = own["first_segment"] or {"start_ref": r.startRef, "end_ref": r.endRef, "summary": r.sceneSummary}
     state = State(spark, root)
-    state.merge("sources", state.rows("sources", sources))
-    state.changed["segments"] = replaced_segments(state.read("segments"), cut, state.rows("sources", sources), at)
-    state.publish()
+
+    def imported() -> None:
+        state.merge("sources", state.rows("sources", sources))
+        state.change_rows("segments", replacing_segments(state.read("segments"), cut, state.rows("sources", sources), at))
+
+    state.transact(imported)
     update_profile(profile_path, language, track, [{"source_id": s["id"], "title": s["title"], "track": track, "imported_at": at, "segment_count": out[s["id"]]["segment_count"]} for s in sources], at)
     payloads.unpersist()
     cut.unpersist()
     return list(out.values())
 
 
-def replaced_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: str) -> DataFrame:
-    """Without the sources' old segments and with their new ones, whose ids follow from source and index."""
+def replacing_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: str) -> Change:
+    """The sources' old segments go, their new ones come, whose ids follow from source and index."""
     new = cut.select(F.substring(F.sha2(F.concat_ws("\x1f", "source_id", F.col("segmentIndex").cast("string")), 256), 1, 32).alias("id"), "source_id", F.lit("subtitle_transcript").alias("material_type"), "track", F.col("segmentIndex").alias("segment_index"), "segment_path", F.col("startRef").alias("start_ref"), F.col("endRef").alias("end_ref"), F.col("contextBefore").alias("context_before_summary"), F.col("contextAfter").alias("context_after_summary"), F.col("sceneSummary").alias("scene_or_argument_summary"), F.lit(at).alias("created_at"), F.lit("ready").alias("status"))
-    return old.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*S.columns_of("segments")).unionByName(new)
+    return Change(new, old.join(sources.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id"))
+
+
+def replaced_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: str) -> DataFrame:
+    """``old`` without the sources' old segments and with their new ones."""
+    return replacing_segments(old, cut, sources, at).applied(old, "id")
 
 
 def update_profile(path: Path, language: str, track: str, imported: list[dict], at: str) -> None:

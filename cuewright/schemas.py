@@ -28,6 +28,17 @@ REFERENCES = {
     "review_items": {"source_id": "sources", "segment_id": "segments"},
     "profile_events": {"session_id": "sessions"},
 }
+# Columns that have to be filled where the state is strict.
+FILLED = {
+    "schema_meta": ["value"],
+    "sources": ["language", "material_type", "track", "title", "raw_path", "imported_at", "status"],
+    "segments": ["source_id", "material_type", "track", "segment_index", "segment_path", "created_at", "status"],
+    "sessions": ["language", "session_type", "started_at", "status"],
+    "review_items": ["language", "review_category", "item_type", "content", "normalized_key", "first_seen_at", "last_seen_at", "status"],
+    "profile_events": ["language", "event_type", "signal", "created_at"],
+    "user_actions": ["target_type", "target_id", "action_type", "created_at"],
+}
+BUCKET_BY = {"segments": "source_id"}  # the others by their key
 KEYS = {name: "key" if name == "schema_meta" else "id" for name in TABLES}
 TRACKS = ["live_chat", "article_reading"]
 ITEM_STATUSES = CATEGORY_STATUSES = ["active", "paused", "ignored", "deleted", "mastered"]
