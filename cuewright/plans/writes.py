@@ -125,7 +125,7 @@ class Batch:
                     routed[by].append((n, o))
             else:
                 wide.append((n, o))
-        folded = self.folded(self.met(old, routed, wide, len(run)), len(run)).persist()
+        folded = self.folded(self.met(old, routed, wide, len(run))).persist()
         hits = dict.fromkeys((n for n, o in run if o.kind == UPDATE), 0)
         taken = None
         for r in folded.select(F.explode("s.hits").alias("hit")).groupBy("hit").agg(F.count("*").alias("n")).collect():  # at most a row an operation
@@ -172,24 +172,19 @@ class Batch:
         shown = self.spark.createDataFrame([(True, [own[n] for n, _ in wide], [own[n] for n, _ in wide if n in moving])], f"all_ boolean, new_ array<{self.op_type}>, moving_ array<{self.op_type}>")
         return grouped.withColumn("all_", F.lit(True)).join(few(shown, size), "all_").select("key_", "row", F.concat("ops", F.when(F.col("row").isNull(), F.col("new_")).otherwise(F.col("moving_"))).alias("ops"))
 
-    def folded(self, met: DataFrame, size: int) -> DataFrame:
+    def folded(self, met: DataFrame) -> DataFrame:
         """s: the row after the operations, whether any touched it, and which did (below 0: an insert of a key that was there)."""
-
-        def step(s: Column, o: Column) -> Column:
-            row, there = s["row"], s["there"]
-            asked = [~F.get(o["asked"], F.lit(k)) | F.coalesce(row[c] == o["where"][c], F.lit(False)) for k, c in enumerate(self.columns)]
-            states = [F.lit(True)]
-            if self.table in HAS_STATUS:
-                status = row["status"]
-                states = [(F.size(o["only"]) == 0) | F.coalesce(F.array_contains(o["only"], status), F.lit(False)), (F.size(o["never"]) == 0) | F.coalesce(~F.array_contains(o["never"], status), F.lit(False))]
-            fits = (o["kind"] != UPDATE) | (there & every([*asked, *states]))
-            merged = F.struct(*[F.when(F.get(o["given"], F.lit(k)), o["data"][c]).otherwise(row[c]).alias(c) for k, c in enumerate(self.columns)])
-            next_ = F.when(~fits, row).when(there, merged).otherwise(o["data"])
-            hit = F.when((o["kind"] == INSERT) & there, -o["ord"] - 1).otherwise(o["ord"])
-            return F.struct(next_.alias("row"), (there | fits).alias("there"), (s["touched"] | fits).alias("touched"), F.when(fits, F.array_append(s["hits"], hit)).otherwise(s["hits"]).alias("hits"))
-
-        start = F.struct(F.col("row"), F.col("row").isNotNull().alias("there"), F.lit(False).alias("touched"), F.array().cast("array<int>").alias("hits"))
-        return met.select(F.aggregate(F.array_sort("ops"), start, step).alias("s"))
+        columns = list(enumerate(self.columns))
+        fits = [f"(NOT o.asked[{k}] OR coalesce(s.`row`.`{c}` = o.`where`.`{c}`, false))" for k, c in columns]
+        if self.table in HAS_STATUS:
+            fits += [f"(size(o.{name}) = 0 OR coalesce({test}array_contains(o.{name}, s.`row`.status), false))" for name, test in (("only", ""), ("never", "NOT "))]
+        merged = ", ".join(f"'{c}', IF(o.given[{k}], o.data.`{c}`, s.`row`.`{c}`)" for k, c in columns)
+        hit = f"IF(o.kind = '{INSERT}' AND s.there, -o.ord - 1, o.ord)"
+        next_ = f"CASE WHEN NOT f THEN s.`row` WHEN s.there THEN named_struct({merged}) ELSE o.data END"
+        step = f"named_struct('row', {next_}, 'there', s.there OR f, 'touched', s.touched OR f, 'hits', IF(f, array_append(s.hits, {hit}), s.hits))"
+        start = "named_struct('row', `row`, 'there', `row` IS NOT NULL, 'touched', false, 'hits', CAST(array() AS array<int>))"
+        shown = f"transform(array(o.kind <> '{UPDATE}' OR (s.there AND {' AND '.join(fits)})), f -> {step})[0]"
+        return met.select(F.expr(f"aggregate(array_sort(ops), {start}, (s, o) -> {shown})").alias("s"))
 
     # operations that look at other rows
 
