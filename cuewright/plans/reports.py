@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cuewright.operators import agenda, profile
 from cuewright.plans.state import State, now_iso, read_json, write_json
 from cuewright.plans.transcripts import COACH
+from cuewright.sources.store import joined
 
 GROUP = ["review_category", "count", "max_priority", "pressure_score"]
 ITEM = ["review_category", "content", "due_at", "priority_score", "stability", "interval_days", "pressure_score"]
@@ -45,10 +46,10 @@ def agenda_document(state: State, language: str, categories: int = 3, items: int
     return out
 
 
-def rebuild_profile(state: State, root: str | Path, now: dt.datetime | None = None) -> Path:
+def rebuild_profile(state: State, root: str | Path, now: dt.datetime | None = None) -> str:
     """The profile's lists from state, for every active language; what state doesn't know stays."""
-    path, at = Path(root) / COACH / "profile.json", now_iso(now)
-    document = read_json(path)
+    path, at = joined(root, COACH, "profile.json"), now_iso(now)
+    document = read_json(path, state.spark)
     events, items, sessions = (state.read(t) for t in ("profile_events", "review_items", "sessions"))
     languages = [r.language for r in profile.active_languages(state.read("sources"), sessions).collect()] or document.get("active_languages", [])
     lists = {
@@ -72,5 +73,5 @@ def rebuild_profile(state: State, root: str | Path, now: dt.datetime | None = No
         own.update({name: found.get((language, name), []) for name in lists}, last_updated_at=at)
         own.setdefault("baseline_summary", None)
     document.update(active_languages=languages, updated_at=at)
-    write_json(path, document)
+    write_json(path, document, state.spark)
     return path

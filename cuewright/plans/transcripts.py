@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import re
-import shutil
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuewright import schemas as S
 from cuewright.functions import text as T
@@ -17,6 +17,8 @@ from cuewright.operators import folds
 from cuewright.plans.state import State, fresh_id, now_iso, read_json, write_json
 from cuewright.plans.writes import Change
 from cuewright.sources import subtitles
+from cuewright.sources.sinks import copy_files, write_files
+from cuewright.sources.store import Located, Store, is_uri, joined
 
 COACH = ".coach"
 PROFILE_LISTS = ["comprehension_strengths", "output_fragilities", "reusable_chunks", "recurring_vocab_gaps", "track_bias", "recent_priorities"]
@@ -28,19 +30,41 @@ TRACK_PROFILES = {
 }
 
 
-def normalized(spark: SparkSession, raw: list[Path], ready: list[Path]) -> DataFrame:
-    """Payload columns of raw subtitle files and of normalised ones.  Of payloads with one source_id the last counts, normalised ones after raw ones."""
-    files = subtitles.described(subtitles.read_files(spark, raw))
+def normalized(spark: SparkSession, raw: list[Path] | DataFrame, ready: list[Path]) -> DataFrame:
+    """Payload columns of raw subtitle files (named, or read by ``subtitles.scan``) and of normalised ones, with their place file_ord.
+
+    Of payloads with one source_id the last counts, normalised ones after raw ones.
+    """
+    files = subtitles.described(raw if isinstance(raw, DataFrame) else subtitles.read_files(spark, raw))
     done = files.select("file_ord", "source_id", "path", "file_name", "stem", "source_label").join(folds.transcripts(files.select("source_id", "format", "raw_text")), "source_id")
     source = F.struct(F.col("path").alias("input_path"), "file_name", "stem", "source_id", "source_label", F.col("stats.format").alias("subtitle_format"))
     made = done.select("file_ord", F.lit(S.SCHEMA_VERSION).alias("schema_version"), F.lit(S.NORMALIZED_KIND).alias("kind"), source.alias("source"), F.lit(T.CLEANING_SUMMARY).alias("cleaning_summary"), F.col("utterances").alias("cleaned_utterances"), F.col("paragraphs").alias("paragraph_records"), F.transform("paragraphs", lambda p: p["text"]).alias("paragraphs"), "stats")
     if not ready:
-        return made.drop("file_ord")
-    order = spark.createDataFrame([(len(raw) + k, str(p)) for k, p in enumerate(ready)], "file_ord int, from_ string")
-    local = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:(?://)?", "")
-    every = made.unionByName(subtitles.read_normalized(spark, ready).withColumn("from_", local).join(order, "from_").drop("from_")).withColumn("id_", F.col("source.source_id"))
+        return made
+    first = 1 << 30 if isinstance(raw, DataFrame) else len(raw)
+    every = made.unionByName(ready_payloads(spark, ready, first).drop("from_")).withColumn("id_", F.col("source.source_id"))
     last = every.groupBy("id_").agg(F.max("file_ord").alias("file_ord"))
-    return every.join(last, ["id_", "file_ord"], "left_semi").drop("id_", "file_ord")
+    return every.join(last, ["id_", "file_ord"], "left_semi").drop("id_")
+
+
+def ready_payloads(spark: SparkSession, ready: list[Path], first: int = 0) -> DataFrame:
+    """Normalised payloads with their place, from ``first`` on, and the path that each is from."""
+    order = spark.createDataFrame([(first + k, str(p)) for k, p in enumerate(ready)], "file_ord int, from_ string")
+    path = subtitles.plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    return subtitles.read_normalized(spark, ready).withColumn("from_", path).join(order, "from_")
+
+
+def folder_of(path: Column, output: object) -> Column:
+    """The folder that a file's documents go to: ``output``, or the file's own."""
+    return F.lit(str(output).rstrip("/")) if output else F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def home_of(paths: list[Path], output: object) -> str:
+    return str(output or paths[0].parent)
+
+
+def pathed(path: str) -> Path | Located:
+    return Located(path) if is_uri(path) else Path(path)
 
 
 def lesson_markdown(title: Column, track: Column) -> Column:
@@ -64,36 +88,43 @@ def plain_text() -> Column:
     return F.concat(T.strip(F.array_join("paragraphs", "\n")), F.lit("\n"))
 
 
-def write_text(path: Path, text: str) -> Path:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text, encoding="utf-8")
-    return path
+@F.pandas_udf(StringType())
+def indented(texts: pd.Series) -> pd.Series:
+    """JSON texts over several lines, characters as they are."""
+    return texts.map(lambda text: json.dumps(json.loads(text), ensure_ascii=False, indent=2) + "\n")
 
 
 def normalize(spark: SparkSession, paths: list[Path], output: Path | None = None) -> list[Path]:
-    """A JSON payload beside each file; rows are fetched one at a time, as named files need the driver."""
-    rows = normalized(spark, paths, []).select("source.input_path", "source.stem", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
-    return [write_text((output or Path(r.input_path).parent) / f"{r.stem}.normalized-subtitle.json", json.dumps(json.loads(r.json), ensure_ascii=False, indent=2) + "\n") for r in rows.toLocalIterator()]
+    """A JSON payload beside each file."""
+    if not paths:
+        return []
+    rows = normalized(spark, paths, [])
+    path = F.concat(folder_of(F.col("source.input_path"), output), F.lit("/"), F.col("source.stem"), F.lit(".normalized-subtitle.json"))
+    payload = F.to_json(F.struct(*[c for c in rows.columns if c != "file_ord"]), {"ignoreNullFields": "false"})
+    made = rows.select(F.col("file_ord").alias("ord"), path.alias("path"), indented(payload).alias("text"))
+    return [pathed(p) for p, _ in write_files(made, home_of(paths, output))]
+
+
+def documents_beside(rows: DataFrame, base: Column, title: Column, track: str, emit_txt: bool) -> DataFrame:
+    """ord, path, text of each payload's lesson-ready document, and of its plain text if asked."""
+    made = rows.select((F.col("file_ord") * 2).alias("ord"), F.concat(base, F.lit(".lesson-ready.en.md")).alias("path"), lesson_markdown(title, F.lit(track)).alias("text"))
+    return made.unionByName(rows.select((F.col("file_ord") * 2 + 1).alias("ord"), F.concat(base, F.lit(".lesson-ready.en.txt")).alias("path"), plain_text().alias("text"))) if emit_txt else made
 
 
 def render(spark: SparkSession, paths: list[Path], track: str, output: Path | None = None, emit_txt: bool = False) -> list[Path]:
     """Lesson-ready Markdown, and text if asked, of normalised payloads."""
-    rows = subtitles.read_normalized(spark, paths).withColumn("from", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    if not paths:
+        return []
     title = F.coalesce(F.nullif("source.stem", F.lit("")), F.nullif("source.source_label", F.lit("")), F.col("source.source_id"))
-    out = []
-    for r in rows.select("from", title.alias("title"), lesson_markdown(title, F.lit(track)).alias("md"), plain_text().alias("txt")).toLocalIterator():
-        base = (output or Path(re.sub("^file:(?://)?", "", r["from"])).parent) / r.title
-        out.append(write_text(Path(f"{base}.lesson-ready.en.md"), r.md))
-        if emit_txt:
-            out.append(write_text(Path(f"{base}.lesson-ready.en.txt"), r.txt))
-    return out
+    base = F.concat(folder_of(F.col("from_"), output), F.lit("/"), title)
+    return [pathed(p) for p, _ in write_files(documents_beside(ready_payloads(spark, paths), base, title, track, emit_txt), home_of(paths, output))]
 
 
-def init_root(spark: SparkSession, root: str | Path, language: str = "en", overwrite: bool = False, now: dt.datetime | None = None, learner_id: str = "default", native_language: str = "zh-CN", feedback_language: str = "zh-CN") -> None:
-    """Folders, config, profile and empty state; an existing config or profile stays unless ``overwrite``."""
-    root, at = Path(root), now_iso(now)
+def init_root(spark: SparkSession, root: str | Path, language: str = "en", overwrite: bool = False, now: dt.datetime | None = None, learner_id: str = "default", native_language: str = "zh-CN", feedback_language: str = "zh-CN", strict: bool = False) -> None:
+    """Folders, config, profile and empty state; an existing config or profile stays unless ``overwrite``.  ``strict``: see ``State.create``."""
+    root, at = absolute(root), now_iso(now)
     for part in ("raw", "cleaned", "segments", "lessons", "sessions", "exports"):
-        (root / "languages" / language / part).mkdir(parents=True, exist_ok=True)
+        Store(spark).make(joined(root, "languages", language, part))
     stamps = {"created_at": at, "updated_at": at}
     config = {
         "schema_version": S.SCHEMA_VERSION, "learner_id": learner_id, "default_language": language, "default_feedback_language": feedback_language, "auto_write": True,
@@ -106,75 +137,97 @@ def init_root(spark: SparkSession, root: str | Path, language: str = "en", overw
         "language_profiles": {language: {"baseline_summary": None, **{k: [] for k in PROFILE_LISTS}, "last_updated_at": None}}, **stamps,
     }
     for name, value in (("config.json", config), ("profile.json", profile)):
-        if overwrite or not (root / COACH / name).exists():
-            write_json(root / COACH / name, value)
-    State(spark, root).create()
+        path = joined(root, COACH, name)
+        if overwrite or not Store(spark).exists(path):
+            write_json(path, value, spark)
+    State(spark, root).create(strict)
 
 
 def migrate_root(spark: SparkSession, root: str | Path, now: dt.datetime | None = None, strict: bool = False) -> int:
     """Missing state tables are made and the schema version stamped; rows stay.  A root without state is an error."""
-    root = Path(root)
+    root = absolute(root)
     state = State(spark, root)
     if not state.unlogged():
         state.version()
     state.create(strict)
-    for path in (root / COACH / "config.json", root / COACH / "profile.json"):
-        if path.exists():
-            write_json(path, {**read_json(path), "schema_version": S.SCHEMA_VERSION, "updated_at": now_iso(now)})
+    for path in (joined(root, COACH, "config.json"), joined(root, COACH, "profile.json")):
+        if Store(spark).exists(path):
+            write_json(path, {**read_json(path, spark), "schema_version": S.SCHEMA_VERSION, "updated_at": now_iso(now)}, spark)
     return S.SCHEMA_VERSION
 
 
 def clean(spark: SparkSession, paths: list[Path], track: str = "live_chat", output: Path | None = None, emit_txt: bool = False) -> list[dict]:
     """Lesson-ready documents straight from subtitle files, with what the cleaning did to each."""
+    if not paths:
+        return []
+    rows = normalized(spark, paths, []).cache()
+    base = F.concat(folder_of(F.col("source.input_path"), output), F.lit("/"), F.col("source.stem"))
+    write_files(documents_beside(rows, base, F.col("source.stem"), track, emit_txt), home_of(paths, output))
     out = []
-    for r in normalized(spark, paths, []).select("source.input_path", "source.stem", "stats", lesson_markdown(F.col("source.stem"), F.lit(track)).alias("md"), plain_text().alias("txt")).toLocalIterator():
-        base = (output or Path(r.input_path).parent) / r.stem
-        out.append({"input": r.input_path, "plain_text": str(write_text(Path(f"{base}.lesson-ready.en.txt"), r.txt)) if emit_txt else None, "markdown": str(write_text(Path(f"{base}.lesson-ready.en.md"), r.md)), "track": track, "raw_cues": r.stats.rawCueCount, "cleaned_utterances": r.stats.cleanedUtteranceCount, "merged_cross_cue_continuations": r.stats.mergedCueCount, "removed_exact_repeats": r.stats.dedupedCount, "dropped_noise_cues": r.stats.droppedNoiseCount})
+    for r in rows.select("file_ord", "source.input_path", base.alias("base"), "stats").orderBy("file_ord").toLocalIterator():
+        out.append({"input": r.input_path, "plain_text": f"{r.base}.lesson-ready.en.txt" if emit_txt else None, "markdown": f"{r.base}.lesson-ready.en.md", "track": track, "raw_cues": r.stats.rawCueCount, "cleaned_utterances": r.stats.cleanedUtteranceCount, "merged_cross_cue_continuations": r.stats.mergedCueCount, "removed_exact_repeats": r.stats.dedupedCount, "dropped_noise_cues": r.stats.droppedNoiseCount})
+    rows.unpersist()
     return out
 
 
-def ingest(spark: SparkSession, root: str | Path, raw: list[Path], ready: list[Path] = (), track: str = "live_chat", language: str = "en", title: str | None = None, creator: str | None = None, source_url: str | None = None, emit_txt: bool = False, now: dt.datetime | None = None) -> list[dict]:
-    """Import files: documents and segment files on disk, sources and segments in state (published together), and the profile."""
-    root, at = Path(root), now_iso(now)
+def absolute(root: object) -> str:
+    return str(root).rstrip("/") if is_uri(root) else str(Path(root).resolve())
+
+
+def ingest(spark: SparkSession, root: str | Path, raw: list[Path] | DataFrame, ready: list[Path] = (), track: str = "live_chat", language: str = "en", title: str | None = None, creator: str | None = None, source_url: str | None = None, emit_txt: bool = False, now: dt.datetime | None = None) -> list[dict]:
+    """Import files: documents and segment files on disk, sources and segments in state (published together), and the profile.
+
+    Tasks read, copy and write; what comes to the driver is a row of counts for each source.
+    """
+    root, at, store = absolute(root), now_iso(now), Store(spark)
     if track not in S.TRACKS:
         raise ValueError(f"unknown track {track}")
-    profile_path = root / COACH / "profile.json"
-    if not profile_path.exists():
+    profile_path = joined(root, COACH, "profile.json")
+    if not store.exists(profile_path):
         raise FileNotFoundError(profile_path)
-    payloads = normalized(spark, list(raw), list(ready)).cache()
-    home = root / "languages" / language
+    home = joined(root, "languages", language)
     named = F.coalesce(F.lit(title), T.default_title(F.col("source.stem"), F.col("source.source_id"), F.lit(track)))
-    cut = folds.segments(payloads.select("source.source_id", F.col("paragraph_records").alias("paragraphs")), F.lit(track)).withColumn("segment_path", F.concat(F.lit(f"{home}/segments/"), F.col("source_id"), F.lit("--seg-"), T.two_digits(F.col("segmentIndex")), F.lit(".md"))).cache()
-    sources, out = [], {}
-    for r in payloads.select("source.*", "stats", named.alias("title"), lesson_markdown(named, F.lit(track)).alias("md"), plain_text().alias("txt")).toLocalIterator():
-        kept, cleaned = None, home / "cleaned" / f"{r.source_id}.lesson-ready.en.md"
-        if r.input_path and Path(r.input_path).exists():
-            kept = home / "raw" / f"{r.source_id}.{language}{Path(r.input_path).suffix.lower() or '.txt'}"
-            kept.parent.mkdir(parents=True, exist_ok=True)
-            shutil.copy2(r.input_path, kept)
-        write_text(cleaned, r.md)
-        if emit_txt:
-            write_text(cleaned.with_suffix(".txt"), r.txt)
-        for old in (home / "segments").glob(f"{r.source_id.replace('[', '[[]')}--seg-*"):
-            old.unlink()
-        sources.append({"id": r.source_id, "language": language, "material_type": "subtitle_transcript", "track": track, "title": r.title, "source_url": source_url, "creator": creator, "raw_path": kept and str(kept), "cleaned_path": str(cleaned), "imported_at": at, "status": "active"})
-        out[r.source_id] = {"source_id": r.source_id, "source_title": r.title, "track": track, "raw_cues": r.stats.rawCueCount, "cleaned_utterances": r.stats.cleanedUtteranceCount, "segment_count": 0, "first_segment": None}
-    for r in cut.select("*", segment_markdown().alias("md")).orderBy("source_id", "segmentIndex").toLocalIterator():
-        write_text(Path(r.segment_path), r.md)
-        own = out[r.source_id]
-        own["segment_count"] += 1
-        own["first_segment"] = own["first_segment"] or {"start_ref": r.startRef, "end_ref": r.endRef, "summary": r.sceneSummary}
+    cleaned = F.concat(F.lit(f"{home}/cleaned/"), F.col("source.source_id"), F.lit(".lesson-ready.en.md"))
+    payloads = normalized(spark, raw if isinstance(raw, DataFrame) else list(raw), list(ready)).withColumn("title", named).withColumn("cleaned_path", cleaned).cache()
+    segment_path = F.concat(F.lit(f"{home}/segments/"), F.col("source_id"), F.lit("--seg-"), T.two_digits(F.col("segmentIndex")), F.lit(".md"))
+    cut = folds.segments(payloads.select("source.source_id", F.col("paragraph_records").alias("paragraphs")), F.lit(track)).withColumn("segment_path", segment_path).cache()
+
+    # files
+    extension = F.lower(F.regexp_extract("source.input_path", r"[^/](\.[^./]+)$", 1))
+    target = F.concat(F.lit(f"{home}/raw/"), F.col("source.source_id"), F.lit(f".{language}"), F.when(extension == "", ".txt").otherwise(extension))
+    copies = copy_files(payloads.filter(F.col("source.input_path") != "").select(F.col("source.input_path").alias("source"), target.alias("target"))).filter("copied").select(F.col("target").alias("raw_path")).cache()
+    files = payloads.select(F.lit(0).alias("ord"), F.col("cleaned_path").alias("path"), lesson_markdown(F.col("title"), F.lit(track)).alias("text"))
+    if emit_txt:
+        files = files.unionByName(payloads.select(F.lit(0).alias("ord"), F.regexp_replace("cleaned_path", "md$", "txt").alias("path"), plain_text().alias("text")))
+    files = files.unionByName(cut.select(F.lit(0).alias("ord"), F.col("segment_path").alias("path"), segment_markdown().alias("text")))
+    written = {p for p, _ in write_files(files, home)}
+
+    # state
+    own = {"id": F.col("source.source_id"), "language": F.lit(language), "material_type": F.lit("subtitle_transcript"), "track": F.lit(track), "title": F.col("title"), "source_url": F.lit(source_url), "creator": F.lit(creator), "raw_path": F.col("raw_path"), "cleaned_path": F.col("cleaned_path"), "imported_at": F.lit(at), "status": F.lit("active")}
+    sources = payloads.withColumn("target", target).join(copies, F.col("target") == F.col("raw_path"), "left").select(*[own[c].cast("string").alias(c) for c in S.columns_of("sources")])
     state = State(spark, root)
 
     def imported() -> None:
-        state.merge("sources", state.rows("sources", sources))
-        state.change_rows("segments", replacing_segments(state.read("segments"), cut, state.rows("sources", sources), at))
+        state.merge("sources", sources)
+        state.change_rows("segments", replacing_segments(state.read("segments"), cut, sources, at))
 
     state.transact(imported)
-    update_profile(profile_path, language, track, [{"source_id": s["id"], "title": s["title"], "track": track, "imported_at": at, "segment_count": out[s["id"]]["segment_count"]} for s in sources], at)
-    payloads.unpersist()
-    cut.unpersist()
-    return list(out.values())
+
+    # what was done
+    first = F.min_by(F.struct(F.col("startRef").alias("start_ref"), F.col("endRef").alias("end_ref"), F.col("sceneSummary").alias("summary")), "segmentIndex")
+    counted = cut.groupBy("source_id").agg(F.count("*").alias("segment_count"), first.alias("first_segment"))
+    out = []
+    for r in payloads.select("file_ord", "source.source_id", F.col("title").alias("source_title"), "stats").join(counted, "source_id", "left").orderBy("file_ord", "source_id").toLocalIterator():
+        out.append({"source_id": r.source_id, "source_title": r.source_title, "track": track, "raw_cues": r.stats.rawCueCount, "cleaned_utterances": r.stats.cleanedUtteranceCount, "segment_count": r.segment_count or 0, "first_segment": r.first_segment and r.first_segment.asDict()})
+    ids = {r["source_id"] for r in out}
+    for name, _ in store.names(joined(home, "segments")):
+        path = joined(home, "segments", name)
+        if name.rpartition("--seg-")[0] in ids and path not in written:
+            store.remove(path)  # of an earlier import with more segments
+    update_profile(profile_path, language, track, [{"source_id": r["source_id"], "title": r["source_title"], "track": track, "imported_at": at, "segment_count": r["segment_count"]} for r in out], at, spark)
+    for frame in (payloads, cut, copies):
+        frame.unpersist()
+    return out
 
 
 def replacing_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: str) -> Change:
@@ -188,8 +241,8 @@ def replaced_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: st
     return replacing_segments(old, cut, sources, at).applied(old, "id")
 
 
-def update_profile(path: Path, language: str, track: str, imported: list[dict], at: str) -> None:
-    profile = read_json(path)
+def update_profile(path: str, language: str, track: str, imported: list[dict], at: str, spark: SparkSession | None = None) -> None:
+    profile = read_json(path, spark)
     own = profile.get("language_profiles", {}).get(language)
     if not own:
         return
@@ -200,7 +253,7 @@ def update_profile(path: Path, language: str, track: str, imported: list[dict],
     own["baseline_summary"] = own.get("baseline_summary") or baseline
     own["last_updated_at"] = profile["updated_at"] = at
     profile["last_imported_source"] = imported[-1] if imported else profile.get("last_imported_source")
-    write_json(path, profile)
+    write_json(path, profile, spark)
 
 
 __all__ = ["clean", "fresh_id", "ingest", "init_root", "migrate_root", "normalize", "normalized", "render"]

@@ -12,11 +12,12 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+URI = r"[A-Za-z][A-Za-z0-9+.-]*://"
 EXISTS = ("FileAlreadyExistsException", "already exists")
 
 
 def is_uri(path: object) -> bool:
-    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", str(path)) is not None
+    return re.match(URI, str(path)) is not None
 
 
 def joined(folder: object, *names: str) -> str:
@@ -29,6 +30,18 @@ def literal(path: object) -> str:
     return text if is_uri(text) else "file://" + text if text.startswith("/") else text
 
 
+class Located(str):
+    """The URI of a file, with the parts of its name that a pathlib path has."""
+
+    @property
+    def name(self) -> str:
+        return self.rpartition("/")[2]
+
+    @property
+    def parent(self) -> Located:
+        return Located(self.rpartition("/")[0])
+
+
 class Store:
     def __init__(self, spark: SparkSession):
         self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
@@ -48,6 +61,11 @@ class Store:
         fs, found = self.at(path)
         return fs.exists(found) and fs.getFileStatus(found).isDirectory()
 
+    def full(self, path: object) -> Located:
+        """``path`` with its scheme and authority, as readers name it."""
+        fs, found = self.at(path)
+        return Located(fs.makeQualified(found).toString())
+
     def names(self, folder: object) -> list[tuple[str, bool]]:
         """(name, whether it is a folder) of what ``folder`` holds; nothing where it does not exist."""
         fs, found = self.at(folder)

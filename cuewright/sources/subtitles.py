@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright import schemas as S
 from cuewright.functions import text as T
 from cuewright.operators import cues
+from cuewright.sources.store import Located, Store, is_uri, joined, literal
 
 SUBTITLE = re.compile(r"[^/]\.(?:srt|vtt|ass|ssa)$", re.IGNORECASE)
+SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT],[aA][sS][sS],[sS][sS][aA]}"
 NORMALIZED = re.compile(r"\.normalized-subtitle(?:\.[a-z]{2}(?:-[A-Za-z]+)?)?\.json$", re.IGNORECASE)
 
 
-def read_manifest(path: str | Path) -> list[Path]:
+def read_manifest(path: str | Path, spark: SparkSession | None = None) -> list[str | Path]:
     """One path a line, relative to the manifest; blank lines and those that start with # don't count."""
-    path = Path(path).resolve()
-    lines = (line.strip() for line in path.read_text(encoding="utf-8").splitlines())
-    return [path.parent / line for line in lines if line and not line.startswith("#")]
+    if is_uri(path):
+        text, folder = Store(spark).read(path), str(path).rpartition("/")[0]
+    else:
+        path = Path(path).resolve()
+        text, folder = path.read_text(encoding="utf-8"), path.parent
+    lines = [line for line in map(str.strip, text.splitlines()) if line and not line.startswith("#")]
+    return [line if is_uri(line) else joined(folder, line) if is_uri(path) else folder / line for line in lines]
 
 
 def listed(folder: Path, recursive: bool, pattern: re.Pattern) -> list[Path]:
@@ -33,42 +40,83 @@ def listed(folder: Path, recursive: bool, pattern: re.Pattern) -> list[Path]:
     return out
 
 
-def collect(inputs: list[str | Path], manifest: str | Path | None = None, recursive: bool = False, normalized: bool = False) -> list[Path]:
-    """Input files, those of the manifest first, each once; a missing path is an error, other kinds of files are passed over."""
+def listed_in(store: Store, folder: str, recursive: bool, pattern: re.Pattern) -> list[Located]:
+    """As ``listed``, of a folder on any file system."""
+    out = []
+    for name, is_folder in sorted(store.names(folder), key=lambda entry: entry[0].lower()):
+        path = joined(folder, name)
+        if is_folder:
+            out += listed_in(store, path, recursive, pattern) if recursive else []
+        elif pattern.search(path):
+            out.append(Located(path))
+    return out
+
+
+def collect(inputs: list[str | Path], manifest: str | Path | None = None, recursive: bool = False, normalized: bool = False, spark: SparkSession | None = None) -> list[Path | Located]:
+    """Input files, those of the manifest first, each once; a missing path is an error, other kinds of files are passed over.
+
+    URIs, which need ``spark``, are listed by their file system.
+    """
     pattern, out = NORMALIZED if normalized else SUBTITLE, {}
-    for given in [*(read_manifest(manifest) if manifest else []), *map(Path, inputs)]:
-        path = given.resolve()
-        if not path.exists():
-            raise FileNotFoundError(path)
-        for file in listed(path, recursive, pattern) if path.is_dir() else [path] if pattern.search(str(path)) else []:
+    for given in [*(read_manifest(manifest, spark) if manifest else []), *inputs]:
+        if is_uri(given):
+            store = Store(spark)
+            path = store.full(given)
+            there, folder = store.exists(path), store.is_folder(path)
+        else:
+            path = Path(given).resolve()
+            there, folder = path.exists(), path.is_dir()
+        if not there:
+            raise FileNotFoundError(str(path))
+        found = (listed_in(store, path, recursive, pattern) if is_uri(given) else listed(path, recursive, pattern)) if folder else [path] if pattern.search(str(path)) else []
+        for file in found:
             out.setdefault(file)
     return list(out)
 
 
-def glob_safe(path: Path) -> str:
-    """Brackets in names are literal, not patterns."""
-    return "file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", str(path))
+FILES = "file_ord int, path string, file_name string"
 
 
-def read_files(spark: SparkSession, paths: list[Path]) -> DataFrame:
+def plain(path: Column) -> Column:
+    """A reader's path as ``collect`` gives it: local ones without a scheme."""
+    return F.regexp_replace(path, "^file:(?://)?(?=/)", "")
+
+
+def read_files(spark: SparkSession, paths: list[str | Path]) -> DataFrame:
     """file_ord, path, file_name, raw_text."""
-    raw = spark.read.format("binaryFile").load([glob_safe(p) for p in paths]) if paths else None
-    order = spark.createDataFrame([(k, str(p), p.name) for k, p in enumerate(paths)], "file_ord int, path string, file_name string")
-    if raw is None:
+    order = spark.createDataFrame([(k, str(p), p.name) for k, p in enumerate(paths)], FILES)
+    if not paths:
         return order.withColumn("raw_text", F.lit(""))
-    return order.join(raw.select(F.regexp_replace("path", "^file:(?://)?", "").alias("path"), F.decode("content", "UTF-8").alias("raw_text")), "path").select("file_ord", "path", "file_name", "raw_text")
+    raw = spark.read.format("binaryFile").load([literal(p) for p in paths])
+    return order.join(raw.select(plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("raw_text")), "path").select("file_ord", "path", "file_name", "raw_text")
+
+
+def scan(spark: SparkSession, folders: list[str | Path], recursive: bool = False) -> DataFrame:
+    """As ``read_files`` for all subtitle files in folders, listed by the readers: no name comes to the driver's lists.
+
+    Files of one folder share their file_ord.
+    """
+    parts = []
+    for k, folder in enumerate(folders):
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", SUBTITLE_GLOB).option("recursiveFileLookup", str(recursive).lower())
+        name = F.regexp_extract("path", "[^/]*$", 0)
+        found = reader.load(literal(folder if is_uri(folder) else Path(folder).resolve())).select(F.lit(k).alias("file_ord"), plain(F.col("path")).alias("path"), name.alias("file_name"), F.decode("content", "UTF-8").alias("raw_text"))
+        parts.append(found.filter(F.char_length("file_name") > 4))
+    return reduce(DataFrame.unionByName, parts) if parts else read_files(spark, [])
 
 
 def described(files: DataFrame) -> DataFrame:
     """With source_id, stem, source_label and format.  Of files with one source_id the last counts."""
     named = files.withColumns({"source_id": T.source_id(F.col("file_name")), "stem": T.strip_subtitle_extension(F.col("file_name")), "format": cues.detect_format(F.col("raw_text"), F.col("file_name"))})
     labelled = named.withColumn("source_label", F.coalesce(F.nullif(T.ascii_label(F.col("stem")), F.lit("")), F.col("source_id")))
-    last = labelled.groupBy("source_id").agg(F.max("file_ord").alias("file_ord"))
-    return labelled.join(last, ["source_id", "file_ord"], "left_semi")
+    # within a folder in order of its names, folders among them
+    place = F.struct("file_ord", F.lower(F.translate("path", "/", "\x01")), "path")
+    last = labelled.groupBy("source_id").agg(F.max(place)["path"].alias("path"))
+    return labelled.join(last, ["source_id", "path"], "left_semi")
 
 
 def read_normalized(spark: SparkSession, paths: list[Path]) -> DataFrame:
     """Normalised payloads by their schema; another kind is an error."""
-    rows = spark.read.schema(S.NORMALIZED).json([glob_safe(p) for p in paths], multiLine=True)
+    rows = spark.read.schema(S.NORMALIZED).json([literal(p) for p in paths], multiLine=True)
     kind = F.when(F.col("kind") == S.NORMALIZED_KIND, F.col("kind")).otherwise(F.raise_error(F.lit("unsupported normalized payload")))
     return rows.withColumn("kind", kind)
