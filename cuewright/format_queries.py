@@ -99,11 +99,12 @@ def stats_sql() -> str:
     text = Q.compact_sql(Q.entities_sql(Q.chained_sql("text")))
     noise = ", ".join(f"'{n}'" for n in T.NOISE)
     kept = f"({text}) <> '' AND lower({text}) NOT IN ({noise})"
-    said = f"(SELECT CAST(conv_id AS VARCHAR) AS source_id, CAST(1 + count_if(NOT ({kept})) AS INTEGER) AS lost FROM conversations GROUP BY 1)"
+    blank = f"{Q.compact_sql('text')} = ''"  # a block without text lines is no cue
+    said = f"(SELECT CAST(conv_id AS VARCHAR) AS source_id, CAST(1 + count_if(NOT ({kept}) AND NOT ({blank})) AS INTEGER) AS lost, CAST(count_if({blank}) AS INTEGER) AS bad FROM conversations GROUP BY 1)"
     folded = Q.clean_sql(f"(SELECT conv_id, turn, {text} AS text FROM conversations WHERE {kept})")
     return f"""
         SELECT source_id, 'srt' AS format, coalesce(any_value(raw), 0) AS "rawCueCount", CAST(count(utterance_index) AS INTEGER) AS "cleanedUtteranceCount", coalesce(any_value(deduped), 0) AS "dedupedCount",
-            coalesce(any_value(merged), 0) AS "mergedCueCount", any_value(lost) AS "droppedNoiseCount", coalesce(arg_min("start", utterance_index), 0.0::DOUBLE) AS "start", coalesce(arg_max("end", utterance_index), 0.0::DOUBLE) AS "end"
+            coalesce(any_value(merged), 0) AS "mergedCueCount", any_value(lost) AS "droppedNoiseCount", coalesce(arg_min("start", utterance_index), 0.0::DOUBLE) AS "start", coalesce(arg_max("end", utterance_index), 0.0::DOUBLE) AS "end", any_value(bad) AS "rejectedCueCount"
         FROM {said} LEFT JOIN ({folded}) USING (source_id) GROUP BY source_id
     """
 

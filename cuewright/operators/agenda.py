@@ -63,3 +63,10 @@ def recommended_mode(pressed: DataFrame, limit: int = 5) -> DataFrame:
         .otherwise("new_content_first")
     )
     return joined.select("language", mode.alias("recommended_mode"))
+
+
+def known_inputs(wanted: DataFrame, sources: DataFrame, segments: DataFrame) -> DataFrame:
+    """source_id, imported, segments: whether each wanted source is there, and how many segments it has that are not deleted."""
+    there = sources.filter("coalesce(status, '') <> 'deleted'").select(F.col("id").alias("source_id"), F.lit(True).alias("there"))
+    counted = segments.filter("coalesce(status, '') <> 'deleted'").groupBy("source_id").agg(F.count("*").alias("n"))
+    return wanted.select("source_id").distinct().join(there, "source_id", "left").join(counted, "source_id", "left").select("source_id", F.coalesce("there", F.lit(False)).alias("imported"), F.coalesce("n", F.lit(0)).alias("segments"))

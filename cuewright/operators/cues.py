@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,14 +71,17 @@ def block_cue(body: Column) -> Column:
 
 
 def block_cues(files: DataFrame) -> DataFrame:
-    """Cues of block-wise formats: source_id, block, start, end, text, of every block with a time line and text lines."""
+    """Cues of block-wise formats: source_id, block, start, end, text, of every block with a time line and text lines.
+
+    A block with an arrow that gives none is rejected: its other columns are null.
+    """
     blocks = F.split(unified_newlines(F.col("raw_text")), r"\n{2,}")
-    found = files.select("source_id", F.posexplode(F.transform(blocks, block_cue)).alias("block", "cue"))
-    return found.filter("cue is not null").select("source_id", "block", "cue.*")
+    found = files.select("source_id", F.posexplode(F.transform(blocks, lambda b: F.struct(block_cue(b).alias("cue"), F.contains(b, F.lit("-->")).alias("meant")))).alias("block", "x"))
+    return found.filter("x.cue is not null or x.meant").select("source_id", "block", "x.cue.*", F.col("x.cue").isNull().alias("rejected"))
 
 
 def styled_cues(files: DataFrame) -> DataFrame:
-    """Cues of styled scripts: dialogue rows of the events section, split by the last format row above them."""
+    """Cues of styled scripts: dialogue rows of the events section, split by the last format row above them; those without readable times are rejected."""
     lines = files.select("source_id", F.posexplode(F.split(unified_newlines(F.col("raw_text")), "\n")).alias("block", "line")).withColumn("line", T.strip(F.col("line")))
     section = F.when(F.col("line").rlike(r"(?i)\A\[events\]\z"), True).when(F.col("line").rlike(r"\A\[.+\]\z"), False)
     above = W.partitionBy("source_id").orderBy("block")
@@ -94,15 +97,21 @@ def styled_cues(files: DataFrame) -> DataFrame:
     cut = rows.withColumn("parts", parts).withColumn("fields", values)
     named = cut.select("source_id", "block", *[F.when(F.array_contains("form", k), field(k)).otherwise("").alias(k) for k in ("start", "end", "text")])
     timed = named.select("source_id", "block", parse_styled_timestamp(F.col("start")).alias("start"), parse_styled_timestamp(F.col("end")).alias("end"), T.strip_style_markup(F.col("text")).alias("text"))
-    return timed.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    return timed.withColumn("rejected", F.col("start").isNull() | F.col("end").isNull())
+
 
+def parse_cues(files: DataFrame, observation: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cues in file order and, for each source, how many were noise and how many were rejected.  ``files``: source_id, format, raw_text.
 
-def parse_cues(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cues in file order and, for each source, how many were noise.  ``files``: source_id, format, raw_text."""
+    ``observation`` gets the sums of the run, as a side output of the pass that makes the cues.
+    """
     styled = F.col("format").isin("ass", "ssa")
     every = block_cues(files.filter(~styled)).unionByName(styled_cues(files.filter(styled)))
-    noise = (F.col("text") == "") | T.is_noise(F.col("text"))
+    noise = ~F.col("rejected") & ((F.col("text") == "") | T.is_noise(F.col("text")))
+    every = every.withColumn("noise", noise)
+    if observation is not None:
+        every = every.observe(observation, F.count_if(~F.col("rejected") & ~F.col("noise")).alias("cues"), F.count_if("noise").alias("noise"), F.count_if("rejected").alias("rejected"))
     order = W.partitionBy("source_id").orderBy("block")
-    cues = every.filter(~noise).select("source_id", (F.row_number().over(order) - 1).alias("cue_index"), "start", "end", "text")
-    dropped = every.groupBy("source_id").agg(F.count_if(noise).cast("int").alias("droppedNoiseCount"))
+    cues = every.filter("not rejected and not noise").select("source_id", (F.row_number().over(order) - 1).alias("cue_index"), "start", "end", "text")
+    dropped = every.groupBy("source_id").agg(F.count_if("noise").cast("int").alias("droppedNoiseCount"), F.count_if("rejected").cast("int").alias("rejectedCueCount"))
     return cues, dropped

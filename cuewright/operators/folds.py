@@ -6,7 +6,7 @@ open element apart from the closed ones, so a step that only extends it copies n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,6 +76,48 @@ def clean(cues: DataFrame) -> DataFrame:
     return folded.select("source_id", F.array_append("f.out", F.col("f.last").dropFields("low")).alias("utterances"), "raw", "f.deduped", "f.merged")
 
 
+BLOCK = 10_000  # rows of a source that one task looks at together
+
+
+def before(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of its source up to and including each, by blocks of ``order``.
+
+    A source's rows meet only within a block; across blocks meet their sums, a row for each.
+    """
+    placed = rows.withColumn("block_", F.floor(F.col(order) / BLOCK)).withColumn("value_", value)
+    sums = placed.groupBy("source_id", "block_").agg(F.sum("value_").alias("sum_"))
+    earlier = W.partitionBy("source_id").orderBy("block_").rowsBetween(W.unboundedPreceding, -1)
+    start = sums.select("source_id", "block_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0)).alias("start_"))
+    own = W.partitionBy("source_id", "block_").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return placed.withColumn("own_", F.sum("value_").over(own)).join(start, ["source_id", "block_"]).select(*rows.columns, (F.col("start_") + F.col("own_")).alias(name))
+
+
+def islands(utterances: DataFrame) -> DataFrame:
+    """``utterances`` (source_id, utterance_index, start, end, text) with the number of the stretch between pauses that each is in.
+
+    A pause of 8 s ends a paragraph whatever came before, so what follows it is folded as from the start.
+    """
+    placed = utterances.withColumn("block_", F.floor(F.col("utterance_index") / BLOCK))
+    last = placed.groupBy("source_id", "block_").agg(F.max_by("end", "utterance_index").alias("end_"))
+    ends = last.select("source_id", "block_", F.lag("end_").over(W.partitionBy("source_id").orderBy("block_")).alias("before_"))
+    inside = F.lag("end").over(W.partitionBy("source_id", "block_").orderBy("utterance_index"))
+    told = placed.withColumn("inside_", inside).join(ends, ["source_id", "block_"])
+    pause = F.coalesce((F.col("start") - F.coalesce("inside_", "before_") >= GAP_SECONDS).cast("int"), F.lit(0))
+    return before(told.withColumn("pause_", pause).drop("inside_", "before_", "block_"), "utterance_index", F.col("pause_"), "island").drop("pause_")
+
+
+def paragraph_rows(utterances: DataFrame) -> DataFrame:
+    """source_id, paragraph_index and the paragraph, of utterances in rows: as ``paragraphs``, but a source spreads over tasks.
+
+    The unit of work is the stretch between two pauses; one recording without any is one task's.
+    """
+    stretch = islands(utterances).groupBy("source_id", "island").agg(F.array_sort(F.collect_list(F.struct("utterance_index", "start", "end", "text"))).alias("items"))
+    folded = paragraphs(stretch.select("source_id", "island", F.transform("items", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("utterances")))
+    counted = before(folded.select("source_id", "island", "paragraphs"), "island", F.size("paragraphs").cast("long"), "until")
+    rows = counted.select("source_id", (F.col("until") - F.size("paragraphs")).alias("first"), F.posexplode("paragraphs").alias("at", "p"))
+    return rows.select("source_id", (F.col("first") + F.col("at")).cast("int").alias("paragraph_index"), "p.*")
+
+
 def paragraphs(cleaned: DataFrame) -> DataFrame:
     """``cleaned`` with its paragraphs: a gap of 8 s closes one before an utterance; enough words and a stop, or too many words, after it."""
     one = "struct<start:double,end:double,text:string,wordCount:int>"
@@ -141,13 +183,16 @@ def segments(listed: DataFrame, track: Column) -> DataFrame:
     return rows.select("source_id", "track", "x.own.*", "x.contextBefore", "x.contextAfter")
 
 
-def transcripts(files: DataFrame) -> DataFrame:
-    """``files`` (source_id, format, raw_text) with utterances, paragraphs and stats; a file without cues has empty ones."""
+def transcripts(files: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """``files`` (source_id, format, raw_text) with utterances, paragraphs and stats; a file without cues has empty ones.
+
+    ``observation``: told, when the rows are computed, how many cues and rejected cues there were in all.
+    """
     from cuewright.operators.cues import parse_cues
 
-    cues, dropped = parse_cues(files)
+    cues, dropped = parse_cues(files, observation)
     listed = files.select("source_id", "format").join(paragraphs(clean(cues)), "source_id", "left").join(dropped, "source_id", "left")
-    whole = listed.select("source_id", "format", F.coalesce("utterances", F.array().cast(UTTERANCES)).alias("utterances"), F.coalesce("paragraphs", F.array().cast(PARAGRAPHS)).alias("paragraphs"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "deduped", "merged", "droppedNoiseCount")])
+    whole = listed.select("source_id", "format", F.coalesce("utterances", F.array().cast(UTTERANCES)).alias("utterances"), F.coalesce("paragraphs", F.array().cast(PARAGRAPHS)).alias("paragraphs"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw", "deduped", "merged", "droppedNoiseCount", "rejectedCueCount")])
     first, last = F.get("utterances", F.lit(0)), F.when(F.size("utterances") > 0, F.element_at("utterances", -1))
-    counts = F.struct(F.col("format"), F.col("raw").alias("rawCueCount"), F.size("utterances").alias("cleanedUtteranceCount"), F.col("deduped").alias("dedupedCount"), F.col("merged").alias("mergedCueCount"), F.col("droppedNoiseCount"), F.coalesce(first["start"], F.lit(0.0)).alias("start"), F.coalesce(last["end"], F.lit(0.0)).alias("end"))
+    counts = F.struct(F.col("format"), F.col("raw").alias("rawCueCount"), F.size("utterances").alias("cleanedUtteranceCount"), F.col("deduped").alias("dedupedCount"), F.col("merged").alias("mergedCueCount"), F.col("droppedNoiseCount"), F.coalesce(first["start"], F.lit(0.0)).alias("start"), F.coalesce(last["end"], F.lit(0.0)).alias("end"), F.col("rejectedCueCount"))
     return whole.select("source_id", "utterances", "paragraphs", counts.alias("stats"))

@@ -70,3 +70,8 @@ def review_fold(items: DataFrame, reviews: DataFrame) -> DataFrame:
     done = items.join(listed, "id").withColumn("next", F.aggregate("reviews", first, step)).withColumn("seen", X.format_time(F.element_at("reviews", -1)["reviewed_at"]))
     changed = {"interval_days": F.col("next.interval_days"), "stability": F.col("next.stability"), "priority_score": F.col("next.priority_score"), "due_at": X.format_time(F.col("next.due_at")), "status": F.col("next.status"), "last_seen_at": F.col("seen"), "last_reviewed_at": F.col("seen")}
     return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in items.columns])
+
+
+def after_import(track: Column, bias: Column, priorities: Column, baseline: Column, own_priorities: Column, own_baseline: Column) -> dict[str, Column]:
+    """A language's lists once material of a track is imported: the track and its priorities come first, an existing baseline stays."""
+    return {"track_bias": ordered_union(F.array(track), bias), "recent_priorities": ordered_union(own_priorities, priorities, 6), "baseline_summary": F.coalesce(F.nullif(baseline, F.lit("")), own_baseline)}

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions import text as T
 from cuewright.operators import agenda, profile
 from cuewright.plans.state import State, now_iso, read_json, write_json
 from cuewright.plans.transcripts import COACH
@@ -24,8 +25,11 @@ def ranked(rows: DataFrame, columns: list[str]) -> list[dict]:
     return [r.asDict() for r in rows.orderBy("rank").select(*columns).collect()]  # at most the limit
 
 
-def agenda_document(state: State, language: str, categories: int = 3, items: int = 5, now: dt.datetime | None = None) -> dict:
-    """What to review in one language; without active items, zero counts and empty lists."""
+def agenda_document(state: State, language: str, categories: int = 3, items: int = 5, now: dt.datetime | None = None, inputs: list[str] | None = None) -> dict:
+    """What to review in one language; without active items, zero counts and empty lists.
+
+    ``inputs``: names of files, of which the document says whether they are imported and have segments.
+    """
     at = F.lit(now or dt.datetime.now(dt.timezone.utc)).cast("timestamp")
     pressed = agenda.pressures(state.read("review_items").filter(F.col("language") == language), at).cache()
     since = agenda.days_since_last(state.read("sessions").filter(F.col("language") == language), at).first()
@@ -43,6 +47,10 @@ def agenda_document(state: State, language: str, categories: int = 3, items: int
         "recommended_mode": mode.recommended_mode if mode else "new_content_first",
     }
     pressed.unpersist()
+    if inputs:
+        named = state.spark.createDataFrame([(k, i, i.rpartition("/")[2]) for k, i in enumerate(inputs)], "ord int, input string, name string").withColumn("source_id", T.source_id(F.col("name")))
+        known = named.join(agenda.known_inputs(named, state.read("sources"), state.read("segments")), "source_id").orderBy("ord")
+        out["inputs"] = [r.asDict() for r in known.select("input", "source_id", "imported", "segments").collect()]  # a row for each input asked for
     return out
 
 

@@ -13,7 +13,8 @@ from pyspark.sql.types import StringType
 
 from cuewright import schemas as S
 from cuewright.functions import text as T
-from cuewright.operators import folds
+from cuewright.operators import contracts, folds
+from cuewright.operators import profile as profile_lists
 from cuewright.plans.state import State, fresh_id, now_iso, read_json, write_json
 from cuewright.plans.writes import Change
 from cuewright.sources import subtitles
@@ -189,6 +190,8 @@ def ingest(spark: SparkSession, root: str | Path, raw: list[Path] | DataFrame, r
     named = F.coalesce(F.lit(title), T.default_title(F.col("source.stem"), F.col("source.source_id"), F.lit(track)))
     cleaned = F.concat(F.lit(f"{home}/cleaned/"), F.col("source.source_id"), F.lit(".lesson-ready.en.md"))
     payloads = normalized(spark, raw if isinstance(raw, DataFrame) else list(raw), list(ready)).withColumn("title", named).withColumn("cleaned_path", cleaned).cache()
+    said = payloads.select(F.col("source.source_id").alias("source_id"), F.lit("transcript").alias("input_type"), F.lit(track).alias("track"), "title", F.array_join("paragraphs", " ").alias("text"), F.col("source.input_path").alias("source_path"))
+    contracts.refuse(contracts.checked_inputs(said), "source_id")
     segment_path = F.concat(F.lit(f"{home}/segments/"), F.col("source_id"), F.lit("--seg-"), T.two_digits(F.col("segmentIndex")), F.lit(".md"))
     cut = folds.segments(payloads.select("source.source_id", F.col("paragraph_records").alias("paragraphs")), F.lit(track)).withColumn("segment_path", segment_path).cache()
 
@@ -241,17 +244,22 @@ def replaced_segments(old: DataFrame, cut: DataFrame, sources: DataFrame, at: st
     return replacing_segments(old, cut, sources, at).applied(old, "id")
 
 
-def update_profile(path: str, language: str, track: str, imported: list[dict], at: str, spark: SparkSession | None = None) -> None:
+def track_profile(track: Column, bias: Column, priorities: Column, baseline: Column) -> dict[str, Column]:
+    """What an import of a track makes of a language's lists."""
+    of_track = lambda k: F.when(track == "article_reading", k(TRACK_PROFILES["article_reading"])).otherwise(k(TRACK_PROFILES["live_chat"]))
+    return profile_lists.after_import(track, bias, priorities, baseline, of_track(lambda t: F.array(*map(F.lit, t[1]))), of_track(lambda t: F.lit(t[0])))
+
+
+def update_profile(path: str, language: str, track: str, imported: list[dict], at: str, spark: SparkSession) -> None:
     profile = read_json(path, spark)
     own = profile.get("language_profiles", {}).get(language)
     if not own:
         return
-    baseline, priorities = TRACK_PROFILES[track]
-    distinct = lambda values: list(dict.fromkeys(values))
-    own["track_bias"] = distinct([track, *(own.get("track_bias") or [])])
-    own["recent_priorities"] = distinct([*priorities, *(own.get("recent_priorities") or [])])[:6]
-    own["baseline_summary"] = own.get("baseline_summary") or baseline
-    own["last_updated_at"] = profile["updated_at"] = at
+    listed = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    old = F.lit(own.get("baseline_summary")).cast("string")
+    after = track_profile(F.lit(track), listed(own.get("track_bias") or []), listed(own.get("recent_priorities") or []), old)
+    own.update(spark.range(1).select(*[c.alias(n) for n, c in after.items()]).first().asDict(), last_updated_at=at)
+    profile["updated_at"] = at
     profile["last_imported_source"] = imported[-1] if imported else profile.get("last_imported_source")
     write_json(path, profile, spark)
 

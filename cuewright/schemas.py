@@ -3,7 +3,7 @@
 CUE = "source_id string, cue_index int, start double, end double, text string"
 UTTERANCES = "array<struct<start:double,end:double,text:string>>"
 PARAGRAPHS = "array<struct<start:double,end:double,text:string,wordCount:int>>"
-STATS = "struct<format:string,rawCueCount:int,cleanedUtteranceCount:int,dedupedCount:int,mergedCueCount:int,droppedNoiseCount:int,start:double,end:double>"
+STATS = "struct<format:string,rawCueCount:int,cleanedUtteranceCount:int,dedupedCount:int,mergedCueCount:int,droppedNoiseCount:int,start:double,end:double,rejectedCueCount:int>"
 NORMALIZED = (
     "schema_version int, kind string, source struct<input_path:string,file_name:string,stem:string,source_id:string,source_label:string,subtitle_format:string>, "
     f"cleaning_summary string, cleaned_utterances {UTTERANCES}, paragraph_records {PARAGRAPHS}, paragraphs array<string>, stats {STATS}"

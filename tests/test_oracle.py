@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 
-from cuewright import format_queries, queries
+from cuewright import format_queries, queries, state_queries
 
 DATA = "/root/testdata/sf0.001"
-OWN, SQL = queries.queries() | format_queries.queries(), queries.oracle_sql() | format_queries.oracle_sql()
+MODULES = (queries, format_queries, state_queries)
+OWN, SQL = {k: v for m in MODULES for k, v in m.queries().items()}, {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
 
 def plain(v):
