@@ -51,7 +51,10 @@ class Store:
         """The file system of ``path`` and the path there; a local one without checksum files, as people edit what it holds."""
         found = self.fs_package.Path(str(path))
         fs = found.getFileSystem(self.conf)
-        return (fs.getRawFileSystem() if fs.getClass().getSimpleName() == "LocalFileSystem" else fs), found
+        if fs.getUri().getScheme() == "file":
+            fs = self.fs_package.RawLocalFileSystem()
+            fs.initialize(found.getFileSystem(self.conf).getUri(), self.conf)
+        return fs, found
 
     def exists(self, path: object) -> bool:
         fs, found = self.at(path)
@@ -106,7 +109,7 @@ class Store:
         part = self.beside(path, text)
         fs, found = self.at(part)
         try:
-            if fs.getScheme() == "file":
+            if fs.getUri().getScheme() == "file":
                 files, of = self.jvm.java.nio.file.Files, lambda p: self.jvm.java.io.File(self.at(p)[1].toUri().getPath()).toPath()
                 files.createLink(of(path), of(part))
             else:
@@ -120,11 +123,16 @@ class Store:
         return True
 
     def rename(self, old: object, new: object, how: str) -> None:
+        fs, found = self.at(old)
+        if fs.getUri().getScheme() == "file":  # one call of the system, which puts the new file in the place of an old one
+            if not fs.rename(found, self.fs_package.Path(str(new))):
+                raise OSError(f"cannot rename {old} to {new}")
+            return
         rename = getattr(self.fs_package, "Options$Rename")
         options = self.gateway.new_array(rename, 1)
         options[0] = getattr(rename, how)
-        context = self.fs_package.FileContext.getFileContext(self.at(old)[1].toUri(), self.conf) if is_uri(old) else self.fs_package.FileContext.getFileContext(self.conf)
-        context.rename(self.fs_package.Path(str(old)), self.fs_package.Path(str(new)), options)
+        context = self.fs_package.FileContext.getFileContext(found.toUri(), self.conf) if is_uri(old) else self.fs_package.FileContext.getFileContext(self.conf)
+        context.rename(found, self.fs_package.Path(str(new)), options)
 
     def move(self, old: object, new: object) -> None:
         """Put the file ``old`` in the place of ``new``, whole at any time where the file system renames atomically."""
