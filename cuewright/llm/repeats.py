@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_by_key, maybe_in, staged, text_slices, utf8_bytes
-from .passages import SPANS, without_spans
+from .common import discard, join_by_key, let, maybe_in, staged, text_slices, utf8_bytes
 from .word_hashes import FACTOR, mix, words
 
 RUN = 25  # words of the shortest run that goes inside lines
 KEY = 10  # words of an anchor
+SPANS = "array<struct<start: int, end: int>>"
 
 
 class Words:
@@ -188,8 +188,16 @@ def merged(spans: DataFrame) -> DataFrame:
             edges = np.searchsorted(own[head], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(pa.array(edges), pairs)], ["doc_id", "removed"])
 
-    # one document's spans, which its own text bounds
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(merge, f"doc_id long, removed {SPANS}")
+    # one document's distinct spans, which its own text bounds: repeated rows of a document have the same
+    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(merge, f"doc_id long, removed {SPANS}")
+
+
+def without_spans(text: str = "text", removed: str = "removed") -> F.Column:
+    """``text`` without the spans; white space around them stays."""
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col(removed), F.array(F.struct(F.char_length(text).alias("start"), F.lit(0).alias("end"))))
+    piece = lambda e, k: F.substring(F.col(text), F.get(e, k)["end"] + 1, F.get(e, k + 1)["start"] - F.get(e, k)["end"])
+    kept = let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: piece(e, k)))
+    return F.when(F.size(removed) > 0, F.array_join(kept, "")).otherwise(F.col(text))
 
 
 def dedup_repeats(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cuewright.llm import decontamination, ngram_join, packing, passages, pii, quality, queries, sharding, telephony, token_counts, token_files
+from cuewright.llm import decontamination, ngram_join, packing, pii, quality, queries, repeats, sharding, telephony, token_counts, token_files
 from cuewright.llm.common import shared_dir
 from cuewright.llm.components import components
 from cuewright.llm.word_encoder import WordEncoder
@@ -43,7 +43,7 @@ OPERATORS = {
     "op4": lambda d: sharding.assign(d, 1000),
     "op5": lambda d: telephony.stored_features(d),
     "op6": ngram_join.ngram_components,
-    "op7": passages.dedup_passages,
+    "op7": repeats.dedup_repeats,
     "op8": lambda d: written_and_read(d),
     "op9": pii.personal_data,
     "op10": lambda d: decontamination.matches(d, d.sparkSession.createDataFrame([(1, "word word word word word word"), (2, None), (None, "a b c d e f"), (3, "")], "item_id long, text string")),
@@ -261,44 +261,6 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert found == {**{k: 100 for k in range(100, 161)}, **{k: 5 for k in (5, 7, *range(200, 260))}}
 
 
-def brute_spans(rows, least=25, cut=16):
-    from cuewright.llm.common import utf8_bytes
-
-    first, listed = {}, {}
-    for i, t in sorted(rows):
-        own, digests, start, end, count = passages.units_of(*utf8_bytes(pa.array([t])), cut)
-        listed[i] = list(zip(digests.tolist(), start.tolist(), end.tolist(), count.tolist(), strict=True))
-        for k, u in enumerate(listed[i]):
-            first.setdefault(u[0], (i, k))
-    out = {}
-    for i, units in listed.items():
-        runs, now = [], []
-        for k, u in enumerate([*units, None]):
-            if u and first[u[0]] != (i, k):
-                now.append(u)
-            elif now:
-                if sum(x[3] for x in now) >= least:
-                    runs.append((now[0][1], now[-1][2]))
-                now = []
-        if runs:
-            out[i] = runs
-    return out
-
-
-def test_passages(spark, documents):
-    passage = " ".join(documents[0][1].split()[:70])
-    rows = [*documents, (9001, f"Née word before {passage} and after"), (9002, f"something else\n{passage}")]
-    want = brute_spans(rows)
-    found = {r.doc_id: r for r in passages.dedup_passages(frame(spark, rows)).collect()}
-    assert {i: [tuple(s) for s in r.removed] for i, r in found.items() if r.removed} == want
-    assert {9001, 9002} <= set(want)
-    for i, t in rows:
-        left = t
-        for a, b in reversed(want.get(i, [])):
-            left = left[:a] + left[b:]
-        assert found[i].text == left
-
-
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     known = {r.doc_id: r.quality for r in labels.collect()}

@@ -84,3 +84,17 @@ def test_every_later_line_goes_however_short(spark, tmp_path):
         for a, b in spans:
             assert any(s.start <= a and b <= s.end for s in found[i].removed), (i, a, b)
     assert found[9002].text == "\nÜ other\n\nSee LICENSE" and found[9003].text == "\n" and found[9004].text is None
+
+
+def test_copies_of_a_row_add_no_spans(spark, tmp_path):
+    """As many spans meet in a task as the text has, however often its row is repeated."""
+    from cuewright.llm import repeats
+
+    text = "\n".join(f"line {k % 30} of a text" for k in range(90))
+    docs = spark.createDataFrame([(1, text)] * 60 + [(0, "line 3 of a text")], SCHEMA).repartition(6)
+    spans = repeats.later_spans(docs)
+    listed = repeats.merged(spans).collect()
+    assert [r.doc_id for r in listed] == [1] and len(listed[0].removed) <= 61
+    found = repeats.dedup_repeats(docs).collect()
+    one = [r for r in repeats.dedup_repeats(spark.createDataFrame([(1, text), (0, "line 3 of a text")], SCHEMA)).collect() if r.doc_id == 1][0]
+    assert len(found) == 61 and {(r.text, r.n_removed) for r in found if r.doc_id == 1} == {(one.text, one.n_removed)}
