@@ -96,14 +96,18 @@ def islands(utterances: DataFrame) -> DataFrame:
     """``utterances`` (source_id, utterance_index, start, end, text) with the number of the stretch between pauses that each is in.
 
     A pause of 8 s ends a paragraph whatever came before, so what follows it is folded as from the start.
+    Pauses are counted within blocks; across blocks meet a block's first start, last end and count.
     """
-    placed = utterances.withColumn("block_", F.floor(F.col("utterance_index") / BLOCK))
-    last = placed.groupBy("source_id", "block_").agg(F.max_by("end", "utterance_index").alias("end_"))
-    ends = last.select("source_id", "block_", F.lag("end_").over(W.partitionBy("source_id").orderBy("block_")).alias("before_"))
-    inside = F.lag("end").over(W.partitionBy("source_id", "block_").orderBy("utterance_index"))
-    told = placed.withColumn("inside_", inside).join(ends, ["source_id", "block_"])
-    pause = F.coalesce((F.col("start") - F.coalesce("inside_", "before_") >= GAP_SECONDS).cast("int"), F.lit(0))
-    return before(told.withColumn("pause_", pause).drop("inside_", "before_", "block_"), "utterance_index", F.col("pause_"), "island").drop("pause_")
+    is_pause = lambda end: F.coalesce((F.col("start") - end >= GAP_SECONDS).cast("long"), F.lit(0))
+    inside = W.partitionBy("source_id", "block_").orderBy("utterance_index")
+    placed = utterances.withColumn("block_", F.floor(F.col("utterance_index") / BLOCK)).withColumn("pause_", is_pause(F.lag("end").over(inside)))
+    counted = placed.withColumn("own_", F.sum("pause_").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("pause_")
+    blocks = counted.groupBy("source_id", "block_").agg(F.max("own_").alias("n_"), F.min_by("start", "utterance_index").alias("start"), F.max_by("end", "utterance_index").alias("end"))
+    order = W.partitionBy("source_id").orderBy("block_")
+    edges = blocks.withColumn("edge_", is_pause(F.lag("end").over(order)))
+    earlier = F.coalesce(F.sum(F.col("n_") + F.col("edge_")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = edges.select("source_id", "block_", (earlier + F.col("edge_")).alias("before_"))
+    return counted.join(starts, ["source_id", "block_"]).select(*utterances.columns, (F.col("before_") + F.col("own_")).alias("island"))
 
 
 def paragraph_rows(utterances: DataFrame) -> DataFrame:
