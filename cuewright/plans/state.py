@@ -128,7 +128,9 @@ class State:
         rows = self.changed[table] if table in self.changed else self.published(table)
         if rows is None:
             raise FileNotFoundError(f"no table {table} in {self.root}")
-        return self.applied(table, rows)
+        types = dict(f.split() for f in S.TABLES[table].split(", "))
+        whole = rows.columns == list(types)
+        return self.applied(table, rows if whole else rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()]))
 
     def applied(self, table: str, rows: DataFrame) -> DataFrame:
         for change in self.changes.get(table, ()):
