@@ -31,7 +31,7 @@ from cuewright import schemas as S
 from cuewright.functions import scoring as X
 from cuewright.operators import profile
 from cuewright.plans.writes import INSERT, UPDATE, UPSERT, Batch, Change, Operation, typed, values
-from cuewright.sources.store import Store, is_uri, joined
+from cuewright.sources.store import Store, is_uri, joined, mounted, reached
 
 T = TypeVar("T")
 ATTEMPTS = 20
@@ -58,7 +58,7 @@ class State:
     """``changed`` holds tables that a batch replaces as a whole, ``changes`` those that it changes row by row."""
 
     def __init__(self, spark: SparkSession, root: str | Path, buckets: int = 8):
-        self.spark, self.root, self.buckets = spark, joined(root, "state"), buckets
+        self.spark, self.root, self.buckets = spark, joined(mounted(root), "state"), buckets
         self.changed: dict[str, DataFrame] = {}
         self.changes: dict[str, list[Change]] = {}
         self.base: dict | None = None
@@ -107,7 +107,7 @@ class State:
             known, before = self.begin()["tables"], self.unlogged()
             for table, schema in S.TABLES.items():
                 if table not in known:
-                    self.changed[table] = self.spark.read.schema(schema).parquet(before[table]) if table in before else self.spark.createDataFrame([], schema)
+                    self.changed[table] = self.spark.read.schema(schema).parquet(reached(before[table])) if table in before else self.spark.createDataFrame([], schema)
             self.strict = strict or self.begin().get("strict", False)
             self.upsert("schema_meta", [{"key": "schema_version", "value": str(S.SCHEMA_VERSION)}])
 
@@ -191,7 +191,7 @@ class State:
             rows = self.read(table) if whole else self.applied(table, self.published(table, own))
             path = joined(token, table)
             placed = rows.select(*S.columns_of(table)).withColumn("bucket", bucket(F.col(by), n))
-            placed.repartition(n if own is None else max(len(own), 1), "bucket").sortWithinPartitions("bucket", key[table]).write.partitionBy("bucket").parquet(joined(self.root, path))
+            placed.repartition(n if own is None else max(len(own), 1), "bucket").sortWithinPartitions("bucket", key[table]).write.partitionBy("bucket").parquet(reached(joined(self.root, path)))
             kept = {} if whole else {b: p for b, p in known["parts"].items() if int(b) not in own}
             new = {name.removeprefix("bucket="): joined(path, name) for name, _ in Store(self.spark).names(joined(self.root, path)) if name.startswith("bucket=")}
             written[table] = {"buckets": n, "parts": kept | new}
@@ -249,7 +249,7 @@ class State:
 
     def parts(self, entry: dict, table: str) -> DataFrame:
         """A table's folders, as a version lists them."""
-        paths = [joined(self.root, p) for p in entry["parts"].values()]
+        paths = [reached(joined(self.root, p)) for p in entry["parts"].values()]
         return self.spark.read.schema(S.TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], S.TABLES[table])
 
     def new_rows(self, table: str) -> DataFrame:

@@ -19,7 +19,7 @@ from cuewright.plans.state import State, fresh_id, now_iso, read_json, write_jso
 from cuewright.plans.writes import Change
 from cuewright.sources import subtitles
 from cuewright.sources.sinks import copy_files, write_files
-from cuewright.sources.store import Located, Store, is_uri, joined
+from cuewright.sources.store import Located, Store, is_uri, joined, mounted
 
 COACH = ".coach"
 PROFILE_LISTS = ["comprehension_strengths", "output_fragilities", "reusable_chunks", "recurring_vocab_gaps", "track_bias", "recent_priorities"]
@@ -172,7 +172,8 @@ def clean(spark: SparkSession, paths: list[Path], track: str = "live_chat", outp
 
 
 def absolute(root: object) -> str:
-    return str(root).rstrip("/") if is_uri(root) else str(Path(root).resolve())
+    root = mounted(root)
+    return root.rstrip("/") if is_uri(root) else str(Path(root).resolve())
 
 
 def ingest(spark: SparkSession, root: str | Path, raw: list[Path] | DataFrame, ready: list[Path] = (), track: str = "live_chat", language: str = "en", title: str | None = None, creator: str | None = None, source_url: str | None = None, emit_txt: bool = False, now: dt.datetime | None = None) -> list[dict]:

@@ -1,7 +1,8 @@
-"""Making the package importable on executors."""
+"""Making the package importable on executors, and the folder that they share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     context.addPyFile(str(path))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a local one on a single machine, and an error on a cluster."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="cuewright-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")

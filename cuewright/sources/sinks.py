@@ -1,8 +1,7 @@
 """Named text files written by tasks, on any file system that Spark writes to.
 
-The tasks write each file whole into a folder of its own beside the target, under Spark's commit
-protocol, so a task that fails leaves nothing.  Then each file is renamed to its name.  The driver handles
-names and sizes, never texts.
+The tasks write each file whole into a hidden folder beside the targets.  When all have, each file is
+renamed to its name, so a task that fails leaves nothing.  The driver handles names and sizes, never texts.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.sources.store import URI, Store, joined
+from cuewright.sources.store import URI, Store, is_uri, joined, mounted
 
 RENAMES_AT_ONCE = 16
 
@@ -30,26 +29,46 @@ def write_files(rows: DataFrame, home: str) -> list[tuple[str, int]]:
     A text has to end with a line end, as the files do.  Of rows with one path the last counts.
     ``home`` is a folder on the file system of the paths; what is in work lies there in a hidden folder.
     """
-    spark, staging = rows.sparkSession, joined(home, f".part-{uuid.uuid4().hex}")
-    store = Store(spark)
+    staging, store = joined(mounted(home), f".part-{uuid.uuid4().hex}"), Store(rows.sparkSession)
     last = rows.groupBy("path").agg(F.max("ord").alias("ord"), F.max_by("text", "ord").alias("text"))
-    whole = F.when(F.endswith("text", F.lit("\n")), F.expr("substring(text, 1, char_length(text) - 1)")).otherwise(F.raise_error(F.concat(F.lit("no line end at the end of "), F.col("path"))))
+    whole = F.when(F.endswith("text", F.lit("\n")), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no line end at the end of "), F.col("path"))))
     try:
-        last.select(F.sha2("path", 256).alias("file"), whole.alias("value")).write.partitionBy("file").option("compression", "none").text(staging)
-        named = [(r.ord, r.path, r.n) for r in last.select("ord", "path", F.octet_length("text").alias("n")).toLocalIterator()]
-        for folder in {p.rpartition("/")[0] for _, p, _ in named}:
+        done = (staged_by_writer if is_uri(staging) else staged_by_tasks)(last.withColumn("text", whole), staging, store)
+        for folder in {p.rpartition("/")[0] for _, p, _, _ in done}:
             store.make(folder)
-
-        def put(path: str) -> None:
-            own = joined(staging, f"file={hashlib.sha256(path.encode()).hexdigest()}")
-            part = next(name for name, _ in store.names(own) if name.startswith("part-"))
-            store.rename(joined(own, part), path, "OVERWRITE")
-
         with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
-            list(pool.map(put, [p for _, p, _ in named]))
+            list(pool.map(lambda one: store.rename(one[3], one[1], "OVERWRITE"), done))
     finally:
         store.remove(staging)
-    return [(p, n) for _, p, n in sorted(named)]
+    return [(p, n) for _, p, n, _ in sorted(done)]
+
+
+def staged_by_writer(rows: DataFrame, staging: str, store: Store) -> list[tuple[int, str, int, str]]:
+    """(ord, path, bytes, where it lies) of files written by Spark's own text sink, each in a folder of its own."""
+    # the sink ends each row with a line end; tasks put their files there themselves when they end (version 2), as nobody reads the folder before all have
+    out = rows.select(F.sha2("path", 256).alias("file"), F.expr("substring(text, 1, char_length(text) - 1)").alias("value")).write.partitionBy("file")
+    out.option("compression", "none").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(staging)
+    part_of = {p.rsplit("/", 2)[1].removeprefix("file="): p for p in store.found(joined(staging, "file=*", "part-*"))}
+    return [(r.ord, r.path, r.n, part_of[hashlib.sha256(r.path.encode()).hexdigest()]) for r in rows.select("ord", "path", F.octet_length("text").alias("n")).toLocalIterator()]
+
+
+def staged_by_tasks(rows: DataFrame, staging: str, store: Store) -> list[tuple[int, str, int, str]]:
+    """As ``staged_by_writer`` on a mounted file system, where tasks write the files themselves; Hadoop's local one starts a process for each."""
+    store.make(staging)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = []
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                data, name = text.encode(), os.path.join(staging, hashlib.sha256(path.encode()).hexdigest())
+                part = f"{name}-{uuid.uuid4().hex}"  # a task may run twice
+                Path(part).write_bytes(data)
+                os.replace(part, name)
+                sizes.append(len(data))
+            yield pd.DataFrame({"ord": frame["ord"], "path": frame["path"], "n": sizes})
+
+    done = rows.mapInPandas(run, "ord long, path string, n long").toLocalIterator()
+    return [(r.ord, r.path, r.n, joined(staging, hashlib.sha256(r.path.encode()).hexdigest())) for r in done]
 
 
 def copied_whole(source: str, target: str) -> bool:

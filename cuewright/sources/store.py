@@ -1,6 +1,6 @@
 """Small files and names on any file system that Spark can reach, by path or URI.
 
-A path without a scheme is one of the default file system.  Only names and control files pass through
+A path without a scheme is one of the mounted file system.  Only names and control files pass through
 here; texts and tables are read and written by tasks.
 """
 
@@ -20,14 +20,23 @@ def is_uri(path: object) -> bool:
     return re.match(URI, str(path)) is not None
 
 
+def reached(path: object) -> str:
+    """``path`` as Spark's readers and writers need it, whatever their default file system is."""
+    return "file://" + str(path) if str(path).startswith("/") else str(path)
+
+
+def mounted(uri: object) -> str:
+    """A file URI as the plain path that it means; others as they are."""
+    return re.sub("^file:/+", "/", str(uri))
+
+
 def joined(folder: object, *names: str) -> str:
     return "/".join([str(folder).rstrip("/"), *names])
 
 
 def literal(path: object) -> str:
     """``path`` as a pattern that fits itself alone: brackets in names are no patterns."""
-    text = re.sub(r"([\[\]{}*?\\])", r"\\\1", str(path))
-    return text if is_uri(text) else "file://" + text if text.startswith("/") else text
+    return reached(re.sub(r"([\[\]{}*?\\])", r"\\\1", str(path)))
 
 
 class Located(str):
@@ -45,16 +54,18 @@ class Located(str):
 class Store:
     def __init__(self, spark: SparkSession):
         self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
+        self.local = None
         self.fs_package = self.jvm.org.apache.hadoop.fs
 
     def at(self, path: object) -> tuple:
         """The file system of ``path`` and the path there; a local one without checksum files, as people edit what it holds."""
-        found = self.fs_package.Path(str(path))
-        fs = found.getFileSystem(self.conf)
-        if fs.getUri().getScheme() == "file":
-            fs = self.fs_package.RawLocalFileSystem()
-            fs.initialize(found.getFileSystem(self.conf).getUri(), self.conf)
-        return fs, found
+        found = self.fs_package.Path(reached(path))
+        if mounted(path) == str(path) and is_uri(path):
+            return found.getFileSystem(self.conf), found
+        if self.local is None:
+            self.local = self.fs_package.RawLocalFileSystem()
+            self.local.initialize(self.jvm.java.net.URI("file:///"), self.conf)
+        return self.local, found
 
     def exists(self, path: object) -> bool:
         fs, found = self.at(path)
@@ -65,15 +76,20 @@ class Store:
         return fs.exists(found) and fs.getFileStatus(found).isDirectory()
 
     def full(self, path: object) -> Located:
-        """``path`` with its scheme and authority, as readers name it."""
-        fs, found = self.at(path)
-        return Located(fs.makeQualified(found).toString())
+        """``path``, or one of Spark's default file system, with its scheme and authority, as readers name it; mounted ones without."""
+        found = self.fs_package.Path(str(path))
+        return Located(mounted(found.getFileSystem(self.conf).makeQualified(found).toString()))
 
     def names(self, folder: object) -> list[tuple[str, bool]]:
         """(name, whether it is a folder) of what ``folder`` holds; nothing where it does not exist."""
         fs, found = self.at(folder)
         return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(found)] if fs.exists(found) else []
 
+    def found(self, pattern: str) -> list[str]:
+        """The paths that fit a pattern, whose fixed part holds no pattern's characters."""
+        fs, path = self.at(pattern)
+        return [mounted(s.getPath().toString()) for s in fs.globStatus(path)]
+
     def make(self, folder: object) -> None:
         fs, found = self.at(folder)
         fs.mkdirs(found)
@@ -125,14 +141,14 @@ class Store:
     def rename(self, old: object, new: object, how: str) -> None:
         fs, found = self.at(old)
         if fs.getUri().getScheme() == "file":  # one call of the system, which puts the new file in the place of an old one
-            if not fs.rename(found, self.fs_package.Path(str(new))):
+            if not fs.rename(found, self.fs_package.Path(reached(new))):
                 raise OSError(f"cannot rename {old} to {new}")
             return
         rename = getattr(self.fs_package, "Options$Rename")
         options = self.gateway.new_array(rename, 1)
         options[0] = getattr(rename, how)
-        context = self.fs_package.FileContext.getFileContext(found.toUri(), self.conf) if is_uri(old) else self.fs_package.FileContext.getFileContext(self.conf)
-        context.rename(found, self.fs_package.Path(str(new)), options)
+        context = self.fs_package.FileContext.getFileContext(found.toUri(), self.conf)
+        context.rename(found, self.fs_package.Path(reached(new)), options)
 
     def move(self, old: object, new: object) -> None:
         """Put the file ``old`` in the place of ``new``, whole at any time where the file system renames atomically."""

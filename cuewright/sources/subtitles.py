@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuewright import schemas as S
 from cuewright.functions import text as T
 from cuewright.operators import cues
-from cuewright.sources.store import Located, Store, is_uri, joined, literal
+from cuewright.sources.store import Located, Store, is_uri, joined, literal, mounted
 
 SUBTITLE = re.compile(r"[^/]\.(?:srt|vtt|ass|ssa)$", re.IGNORECASE)
 SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT],[aA][sS][sS],[sS][sS][aA]}"
@@ -100,7 +100,7 @@ def scan(spark: SparkSession, folders: list[str | Path], recursive: bool = False
     for k, folder in enumerate(folders):
         reader = spark.read.format("binaryFile").option("pathGlobFilter", SUBTITLE_GLOB).option("recursiveFileLookup", str(recursive).lower())
         name = F.regexp_extract("path", "[^/]*$", 0)
-        found = reader.load(literal(folder if is_uri(folder) else Path(folder).resolve())).select(F.lit(k).alias("file_ord"), plain(F.col("path")).alias("path"), name.alias("file_name"), F.decode("content", "UTF-8").alias("raw_text"))
+        found = reader.load(literal(folder if is_uri(mounted(folder)) else Path(mounted(folder)).resolve())).select(F.lit(k).alias("file_ord"), plain(F.col("path")).alias("path"), name.alias("file_name"), F.decode("content", "UTF-8").alias("raw_text"))
         parts.append(found.filter(F.char_length("file_name") > 4))
     return reduce(DataFrame.unionByName, parts) if parts else read_files(spark, [])
 

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from cuewright import format_queries, queries, state_queries
+from cuewright import file_queries, format_queries, queries, state_queries
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (queries, format_queries, state_queries)
+MODULES = (queries, format_queries, state_queries, file_queries)
 OWN, SQL = {k: v for m in MODULES for k, v in m.queries().items()}, {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
 
