@@ -63,6 +63,7 @@ class State:
         self.changes: dict[str, list[Change]] = {}
         self.base: dict | None = None
         self.inside = False
+        self.empty: set[str] = set()  # tables without rows that a batch makes
         self.seen: set[str] = set()
         self.strict: bool | None = None
 
@@ -94,7 +95,7 @@ class State:
         for change in (c for own in self.changes.values() for c in own):
             for frame in change.held:
                 frame.unpersist()
-        self.changed, self.changes, self.base, self.inside, self.seen, self.strict = {}, {}, None, False, set(), None
+        self.changed, self.changes, self.base, self.inside, self.empty, self.seen, self.strict = {}, {}, None, False, set(), set(), None
 
     def create(self, strict: bool = False) -> None:
         """Empty tables where there are none, as a new version; tables that exist keep their rows.
@@ -108,6 +109,8 @@ class State:
             for table, schema in S.TABLES.items():
                 if table not in known:
                     self.changed[table] = self.spark.read.schema(schema).parquet(reached(before[table])) if table in before else self.spark.createDataFrame([], schema)
+                    if table not in before:
+                        self.empty.add(table)
             self.strict = strict or self.begin().get("strict", False)
             self.upsert("schema_meta", [{"key": "schema_version", "value": str(S.SCHEMA_VERSION)}])
 
@@ -187,6 +190,9 @@ class State:
             known, by = base["tables"].get(table), S.BUCKET_BY.get(table, key[table])
             whole = known is None or table in self.changed
             n = self.buckets if whole else known["buckets"]
+            if table in self.empty and table not in self.changes:
+                written[table] = {"buckets": n, "parts": {}}
+                continue
             own = None if whole else self.changed_buckets(table, by, n)
             rows = self.read(table) if whole else self.applied(table, self.published(table, own))
             path = joined(token, table)
@@ -223,15 +229,17 @@ class State:
         known = self.begin()["tables"]
         for table, own in (known | written if from_now_on else written).items():
             old = {} if from_now_on else known.get(table, {"parts": {}})["parts"]
-            fresh = self.parts({"parts": {b: p for b, p in own["parts"].items() if old.get(b) != p}}, table)
-            key = S.KEYS[table]
+            parts = {b: p for b, p in own["parts"].items() if old.get(b) != p}
+            if not parts:
+                continue
+            fresh, key = self.parts({"parts": parts}, table), S.KEYS[table]
             twice = fresh.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
             found.append(told(twice, table, F.lit("has more than one row")))
             for column in [key, *(S.FILLED[table] if strict else [])]:
                 found.append(told(fresh.filter(F.col(column).isNull()), table, F.lit(f"has no {column}")))
         for table, references in S.REFERENCES.items():
             for column, parent in references.items():
-                if table in written:
+                if table in written and written[table]["parts"]:
                     named = self.new_rows(table).select(S.KEYS[table], column).filter(F.col(column).isNotNull())
                     there = after[parent] if parent in written else self.published(parent)
                     ids = self.spark.createDataFrame([], f"{column} string") if there is None else there.select(F.col("id").alias(column))
@@ -243,7 +251,7 @@ class State:
                     if rows is not None:
                         left = rows.join(gone.select(F.col("id").alias(column)), column, "left_semi")
                         found.append(told(left, table, F.concat(F.lit(f"names {column} "), F.col(column), F.lit(f", which {parent} would lose"))))
-        bad = reduce(DataFrame.unionByName, found).first()
+        bad = reduce(DataFrame.unionByName, found).first() if found else None
         if bad is not None:
             raise ValueError(f"{bad['table']} row {bad['id']}: {bad['what']}")
 
