@@ -141,3 +141,15 @@ def test_ingest_into_a_root(spark, tmp_path, store, scheme):
     again = transcripts.ingest(spark, root, subtitles.scan(spark, [f"{base}/in"]))
     assert {d["source_id"] for d in again} == {"a", "b", "x-1"} and state.read("segments").count() == 4
     assert "a--seg-07.md" not in seen("segments") and "a--seg-1--seg-07.md" in seen("segments")
+
+
+def test_mounted_files_are_named_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    given = [(0, f"{tmp_path}/in/{k % 3}/Talk {k} é.srt", f"{k}\n") for k in range(40)]
+    monkeypatch.setattr(Store, "rename", lambda *_: pytest.fail("renamed by the driver"))
+    made = sinks.write_table(rows(spark, *given), str(tmp_path))
+    assert {(r.path, r.n) for r in made.collect()} == {(p, len(t)) for _, p, t in given}
+    put(tmp_path / "in" / "_hidden", d__srt="x")
+    (tmp_path / "in" / ".e.srt").write_text("x")
+    found = subtitles.scan(spark, [tmp_path / "in"], recursive=True)
+    assert found.inputFiles() == [] or all("/names-" in f for f in found.inputFiles())  # no file of the folder is in the plan
+    assert {(r.path, r.raw_text) for r in found.collect()} == {(p, t) for _, p, t in given}
