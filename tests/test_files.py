@@ -153,3 +153,17 @@ def test_mounted_files_are_named_and_listed_by_tasks(spark, tmp_path, monkeypatc
     found = subtitles.scan(spark, [tmp_path / "in"], recursive=True)
     assert found.inputFiles() == [] or all("/names-" in f for f in found.inputFiles())  # no file of the folder is in the plan
     assert {(r.path, r.raw_text) for r in found.collect()} == {(p, t) for _, p, t in given}
+
+
+def test_payloads_of_a_folder_are_imported_without_a_list(spark, tmp_path):
+    put(tmp_path / "raw", a__srt=SRT, b__vtt=ROLLING)
+    transcripts.normalize(spark, subtitles.collect([tmp_path / "raw"]), tmp_path / "in")
+    (tmp_path / "in" / "z.normalized-subtitle.json").write_text((tmp_path / "in" / "a.normalized-subtitle.json").read_text().replace("Kenobi", "Grievous"))
+    root = str(tmp_path / "root")
+    transcripts.init_root(spark, root)
+    held = tmp_path / "root" / "languages" / "en" / "segments"
+    put(held, **{"a--seg-07__md": "stale", "other--seg-01__md": "of another source"})
+    done = transcripts.import_files(spark, root, [], subtitles.scan_normalized(spark, tmp_path / "in"))
+    assert sorted((r.source_id, r.segment_count) for r in done.collect()) == [("a", 1), ("b", 1)]
+    assert sorted(p.name for p in held.iterdir()) == ["a--seg-01.md", "b--seg-01.md", "other--seg-01.md"] and "Grievous" in (held / "a--seg-01.md").read_text()
+    assert State(spark, root).read("segments").count() == 2
