@@ -14,7 +14,6 @@ shuffled, never texts or ids.
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices
+from .common import give_back, staged, text_slices
 from .word_encoder import encoder
 
 LEAST_SAVING = 0.01
@@ -62,13 +61,6 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def give_back() -> None:
-    """Return freed memory to the system where the C library can: a worker process lives on, with what earlier stages left in it."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def token_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int) -> Iterator[tuple]:
     """Columns doc_id, piece, start, length, crc of each slice of a partition."""
     coder = encoder(tokenizer)

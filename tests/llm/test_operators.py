@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from cuewright.llm import decontamination, ngram_join, packing, pii, quality, queries, repeats, sharding, telephony, token_counts, token_files
+from cuewright.llm import common, decontamination, ngram_join, packing, pii, quality, queries, repeats, sharding, telephony, token_counts, token_files
 from cuewright.llm.common import shared_dir
 from cuewright.llm.components import components
 from cuewright.llm.word_encoder import WordEncoder
@@ -176,6 +176,13 @@ def test_media(spark, documents):
     assert {r.feature.split(";")[0] for r in found} == {"mulaw", "alaw", "adpcm"}
 
 
+def test_slices_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "b"]})
+    assert [s.num_rows for s in common.text_slices(iter([batch, batch]), "text", 1)] == [2, 1] * 2 and len(calls) == 2
+
+
 def test_media_of_nulls_and_clashing_names(spark):
     media = spark.createDataFrame([(1, 2, telephony.wav(telephony.ALAW, b"\1" * 64), b"x"), (2, 0, None, None)], "doc_id long, n_bytes long, media binary, pcm binary")
     found = {r.doc_id: r for r in telephony.pcm_features(telephony.to_pcm(telephony.with_digests(media))).collect()}
