@@ -13,7 +13,6 @@ from . import decontamination, filter_audit, middle, ngram_join, packing, pii, q
 from .common import documents_of, shared_dir
 
 SHARD_BYTES = 1 << 20
-PCM_RATE = 4000  # the stored audio is of 8000 Hz; PCM of 16,000 Hz would take about three times the disk
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.stored_features(documents_of(spark, sf_dir), PCM_RATE)
+    return telephony.stored_features(documents_of(spark, sf_dir))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, text_slices
+from .common import discard, give_back, staged, text_slices
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17  # WAV format tags
 RATE = 8000
 UNIT = 64  # payload bytes in an ADPCM block, after its header
 HEADER = 4
+SLICES = 4
 COMPRESSION = {"parquet.compression.codec.zstd.level": "9"}
 
 # Fixed values of the IMA ADPCM standard.
@@ -186,6 +188,7 @@ def media_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 DIGESTS = [("codec", "string"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string")]
@@ -235,7 +238,15 @@ def pcm_features(pcm: DataFrame) -> DataFrame:
     return pcm.mapInArrow(run, FEATURES)
 
 
-def stored_features(docs: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Texts as telephony audio, stored; its resampled PCM, stored; and the features of both as they are read back."""
-    media = staged(to_media(docs), "media", **COMPRESSION)
-    return pcm_features(staged(to_pcm(with_digests(media), rate), "pcm", **COMPRESSION))
+def stored_features(docs: DataFrame, rate: int = 16_000, slices: int = SLICES) -> DataFrame:
+    """Texts as telephony audio, stored; its resampled PCM, stored; and the features of both as they are read back.
+
+    PCM takes several times its audio's bytes, so that of one slice of the rows at a time lies in the shared folder.
+    """
+    media, told = staged(to_media(docs), "media", **COMPRESSION), []
+    for k in range(slices):
+        own = media.filter(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == k)
+        pcm = staged(to_pcm(with_digests(own), rate), "pcm", **COMPRESSION)
+        told.append(staged(pcm_features(pcm), "features"))
+        discard(pcm)
+    return reduce(DataFrame.unionByName, told)

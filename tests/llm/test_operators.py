@@ -176,6 +176,12 @@ def test_media(spark, documents):
     assert {r.feature.split(";")[0] for r in found} == {"mulaw", "alaw", "adpcm"}
 
 
+def test_media_query_makes_the_whole_rate(spark, documents, tmp_path):
+    frame(spark, documents).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op5_media_columns(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == sorted(d for d, _ in documents) and {r.feature.split(";")[1] for r in found} == {"16000Hz"}
+
+
 def test_slices_give_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
